@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks of Unicode with those that print nothing, as a class of a Java regular expression.
-BLANK = r"[\s\x1c-\x1f\u0085   -​    ⁠　﻿]"
+BLANK = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
 
 def strip(text: Column) -> Column:
