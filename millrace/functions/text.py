@@ -18,3 +18,8 @@ def clean(text: Column) -> Column:
     """Stripped, null if nothing is left."""
     stripped = strip(text)
     return F.when(stripped != "", stripped)
+
+
+def filled(text: Column) -> Column:
+    """Whether there is a sign that is no blank; false for null. Ends at the first such sign, however long the text."""
+    return F.coalesce(text.rlike(f"[^{BLANK[1:]}"), F.lit(False))
