@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace import session
+
 DROP = 0x110000
 
 # Letters that print like a Latin letter.
@@ -123,16 +126,19 @@ def readable(skeleton: str) -> str:
     return skeleton if skeleton.isascii() else _WORD.sub(_own_script, skeleton)
 
 
-def forms(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def forms(df: DataFrame, key: str = "doc_id", text: str = "text", with_form: bool = True) -> DataFrame:
     """key, form, skeleton_hi, skeleton_lo, raw_hash, visible: one row per row of ``df``.
 
-    ``form`` is the consistent text and null for a null text. Texts print alike exactly if their
-    skeletons are equal; two hashes of 64 bits stand for the skeleton. ``visible`` tells whether a
-    sign is left that prints. Empty and blank texts give "". Rows with equal or null keys stay apart.
+    ``form`` is the consistent text, null for a null text and where ``with_form`` is false. Texts
+    print alike exactly if their skeletons are equal; 128 bits of hash stand for the skeleton.
+    ``visible`` tells whether a sign is left that prints. Empty and blank texts give "". Rows with
+    equal or null keys stay apart. One pass, no shuffle.
     """
     table = df.sparkSession.sparkContext.broadcast(mapping())
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
+    names = ["k", "form", "skeleton_hi", "skeleton_lo", "raw_hash", "visible"]
+    half = 1 << 63
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = Mapper(table.value)
@@ -141,15 +147,24 @@ def forms(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 part = batch.slice(start, 2000)
                 texts = part.column(1).to_pylist()
                 mapped = mapper([t or "" for t in texts])
-                final = [None if t is None else m for t, m in zip(texts, mapped)]
-                shown = [None if m is None else readable(m) for m in final]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(final, pa.string()), pa.array(shown, pa.string())], ["k", "t", "skeleton", "form"])
-
-    out = rows.mapInArrow(run, f"k {kind}, t string, skeleton string, form string")
-    return out.select(
-        F.col("k").alias(key), "form", F.xxhash64("skeleton").alias("skeleton_hi"), F.xxhash64(F.reverse("skeleton"), F.lit(1)).alias("skeleton_lo"),
-        F.xxhash64("t", F.lit(7)).alias("raw_hash"), F.coalesce(F.length("skeleton") > 0, F.lit(False)).alias("visible"),
-    )
+                form, high, low, raw, visible = [], [], [], [], []
+                for t, m in zip(texts, mapped):
+                    if t is None:
+                        for x in (form, high, low, raw):
+                            x.append(None)
+                        visible.append(False)
+                        continue
+                    form.append(readable(m) if with_form else None)
+                    whole = xxhash.xxh3_128_intdigest(m.encode())
+                    high.append((whole >> 64) - half)
+                    low.append((whole & 0xFFFFFFFFFFFFFFFF) - half)
+                    raw.append(xxhash.xxh3_64_intdigest(t.encode()) - half)
+                    visible.append(m != "")
+                made = [pa.array(form, pa.string()), *(pa.array(x, pa.int64()) for x in (high, low, raw)), pa.array(visible, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names)
+
+    schema = f"k {kind}, form string, skeleton_hi long, skeleton_lo long, raw_hash long, visible boolean"
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +174,8 @@ def pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     nothing however large it is; only pairs of the result are formed. Rows without a key are in no
     pair, repeated rows of one key count once.
     """
-    marks = forms(df, key, text).filter(F.col("visible") & F.col(key).isNotNull()).select(key, "skeleton_hi", "skeleton_lo", "raw_hash")
+    marks = forms(df, key, text, with_form=False).filter(F.col("visible") & F.col(key).isNotNull()).select(key, "skeleton_hi", "skeleton_lo", "raw_hash")
+    marks = session.cut(marks)  # a few numbers per text, read three times below
     skeleton = ["skeleton_hi", "skeleton_lo"]
     several = marks.groupBy(*skeleton).agg(F.min("raw_hash").alias("lo"), F.max("raw_hash").alias("hi")).filter("lo <> hi").select(*skeleton)
     members = marks.join(several, skeleton, "left_semi").distinct()
