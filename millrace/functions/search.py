@@ -79,12 +79,15 @@ def matches(tokens: Column, query: Query) -> Column:
     return reduce(lambda a, b: a | b, (one(a) for a in query.alternatives), F.lit(False))
 
 
+def _hits(tokens: Column, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == word))
+
+
 def rank(fields: list[Column], query: Query, weights: tuple[float, ...] = WEIGHTS) -> Column:
     """Sum over sought words and fields of the field's weight times the share of the field's words, damped by the field's length."""
     sought = sorted({s for a in query.alternatives for wanted, p in a if wanted for s in p})
     score = F.lit(0.0)
     for tokens, weight in zip(fields, weights):
         for s in sought:
-            hits = F.size(F.filter(tokens, lambda t, s=s: t == s))
-            score = score + F.lit(weight) * hits / (1 + F.log(1.0 + F.size(tokens)))
+            score = score + F.lit(weight) * _hits(tokens, s) / (1 + F.log(1.0 + F.size(tokens)))
     return score
