@@ -1,4 +1,8 @@
-"""Full-text search: weighted documents, web-style queries, match and rank."""
+"""Full-text search: weighted documents, web-style queries, match and rank.
+
+A document is one string of stems with a blank on either side of each, so that a word or phrase is
+found by a plain search of a substring, without arrays.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +10,31 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Weights of the four fields, title first (public PostgreSQL defaults for A to D).
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
-_TOKEN = r"[\p{L}\p{N}]+"
 # Words that no query looks for.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with", "you", "your", "we", "our")
-#: Endings removed to match inflected forms, first that fits, if three letters remain.
-ENDINGS = (("ies", "y"), ("ing", ""), ("ers", "er"), ("es", ""), ("ed", ""), ("s", ""))
-
-
-def words(text: Column) -> Column:
-    """Lower-case words in order, stop words kept, endings removed."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0), stem)
+#: Endings removed one after another to match inflected forms, if three letters remain.
+ENDINGS = ((r"\b(\p{L}{3,})ies\b", "y"), (r"\b(\p{L}{3,})(?:ing|ed)\b", ""), (r"\b(\p{L}{3,})(?<!s)s\b", ""))
 
 
-def stem(word: Column) -> Column:
-    chain = None
-    for ending, to in ENDINGS:
-        fits = word.endswith(ending) & (F.length(word) - len(ending) >= 3)
-        if ending == "s":
-            fits = fits & ~word.endswith("ss")
-        made = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(to))
-        chain = F.when(fits, made) if chain is None else chain.when(fits, made)
-    return chain.otherwise(word)
+def document(text: Column) -> Column:
+    """The stems of a text, each between blanks; null counts as empty."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, to in ENDINGS:
+        out = F.regexp_replace(out, "(?U)" + pattern, "$1" + to)
+    return F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
-def stem_text(word: str) -> str:
-    for ending, to in ENDINGS:
-        if word.endswith(ending) and len(word) - len(ending) >= 3 and not (ending == "s" and word.endswith("ss")):
-            return word[: -len(ending)] + to
-    return word
+def stems_of(text: str) -> tuple[str, ...]:
+    text = text.lower()
+    for pattern, to in ENDINGS:
+        text = regex.sub(pattern, r"\1" + to, text)
+    return tuple(regex.findall(r"[\p{L}\p{N}]+", text))
 
 
 @dataclass(frozen=True)
@@ -55,39 +51,36 @@ def parse(query: str) -> Query:
         if word.lower() == "or" and not minus:
             out.append([])
             continue
-        stems = tuple(stem_text(w) for w in re.findall(r"[^\W_]+", (phrase or word).lower()))
-        if not phrase:
-            stems = tuple(s for s in stems if s not in STOP_WORDS)
+        stems = stems_of(phrase or word)
+        if not phrase and word.lower() in STOP_WORDS:
+            stems = ()
         if stems:
             out[-1].append((minus == "", stems))
     return Query(tuple(tuple(a) for a in out if a))
 
 
-def _occurs(tokens: Column, phrase: tuple[str, ...]) -> Column:
-    if len(phrase) == 1:
-        return F.array_contains(tokens, phrase[0])
-    n = len(phrase)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.exists(starts, lambda i: F.slice(tokens, i, n) == F.array(*map(F.lit, phrase)))
+def _needle(phrase: tuple[str, ...]) -> str:
+    return " " + "  ".join(phrase) + " "
 
 
-def matches(tokens: Column, query: Query) -> Column:
-    """Whether the words fulfil the query; a query without words matches nothing."""
+def matches(doc: Column, query: Query) -> Column:
+    """Whether the document fulfils the query; a query without words matches nothing."""
     def one(parts: tuple) -> Column:
-        return reduce(lambda a, b: a & b, (_occurs(tokens, p) if wanted else ~_occurs(tokens, p) for wanted, p in parts))
+        return reduce(lambda a, b: a & b, (doc.contains(_needle(p)) if wanted else ~doc.contains(_needle(p)) for wanted, p in parts))
 
     return reduce(lambda a, b: a | b, (one(a) for a in query.alternatives), F.lit(False))
 
 
-def _hits(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word))
+def _hits(doc: Column, word: str) -> Column:
+    needle = _needle((word,))
+    return (F.length(doc) - F.length(F.replace(doc, F.lit(needle), F.lit("")))) / len(needle)
 
 
 def rank(fields: list[Column], query: Query, weights: tuple[float, ...] = WEIGHTS) -> Column:
-    """Sum over sought words and fields of the field's weight times the share of the field's words, damped by the field's length."""
+    """Sum over sought words and fields of the field's weight times its hits, damped by the field's length."""
     sought = sorted({s for a in query.alternatives for wanted, p in a if wanted for s in p})
     score = F.lit(0.0)
-    for tokens, weight in zip(fields, weights):
+    for doc, weight in zip(fields, weights):
         for s in sought:
-            score = score + F.lit(weight) * _hits(tokens, s) / (1 + F.log(1.0 + F.size(tokens)))
+            score = score + F.lit(weight) * _hits(doc, s) / (1 + F.log1p(F.length(doc)))
     return score

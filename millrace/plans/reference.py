@@ -463,23 +463,22 @@ def classify_all(spark: SparkSession, d: str) -> DataFrame:
 _SEARCH = 'payroll "menu planning" -drivers or "night cover" returns'
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    # Tokens are made once per row; the projection between keeps them from being made again.
-    return table(spark, d, "normalized_jobs").select("record_id", search.words(F.col("title")).alias("a"), search.words(F.col("description_text")).alias("d"))
-
-
-@query(r"""WITH t AS (SELECT record_id, regexp_extract_all(lower(concat_ws(' ', title, description_text)), '[\p{L}\p{N}]+') AS w FROM normalized_jobs)
-    SELECT record_id FROM t WHERE list_contains(w, 'hexpath') AND NOT list_contains(w, 'opaline')""")
+@query(r"""WITH t AS (SELECT record_id, '  ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(concat_ws(' ', title, description_text)),
+        '\b(\pL{3,})ies\b', '\1y', 'g'), '\b(\pL{3,})(?:ing|ed)\b', '\1', 'g'), '\b(\pL{2,}[^s\PL])s\b', '\1', 'g'), '[^\p{L}\p{N}]+', '  ', 'g') || '  ' AS w FROM normalized_jobs)
+    SELECT record_id FROM t WHERE (w LIKE '% payroll %' AND w LIKE '% menu  plann %' AND w NOT LIKE '% driver %') OR (w LIKE '% night  cover %' AND w LIKE '% return %')""")
 def fulltext_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "normalized_jobs").select("record_id", search.words(F.concat_ws(" ", "title", "description_text")).alias("w"))
-    return rows.filter(search.matches(F.col("w"), search.parse("hexpath -opaline"))).select("record_id")
+    rows = table(spark, d, "normalized_jobs").select("record_id", search.document(F.concat_ws(" ", "title", "description_text")).alias("w"))
+    return rows.filter(search.matches(F.col("w"), search.parse(_SEARCH))).select("record_id")
 
 
 @query()
 def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty best by rank (a top-k report)."""
     q = search.parse(_SEARCH)
-    rows = _documents(spark, d).filter(search.matches(F.concat("a", "d"), q))
-    return rows.select("record_id", F.round(search.rank([F.col("a"), F.col("d")], q, (search.WEIGHTS[0], search.WEIGHTS[3])), 6).alias("rank")).orderBy(F.desc("rank"), F.desc("record_id")).limit(50)
+    rows = table(spark, d, "normalized_jobs").select("record_id", search.document(F.col("title")).alias("a"), search.document(F.col("description_text")).alias("d"))
+    hits = rows.filter(search.matches(F.concat("a", "d"), q))
+    score = F.round(search.rank([F.col("a"), F.col("d")], q, (search.WEIGHTS[0], search.WEIGHTS[3])), 6)
+    return hits.select("record_id", score.alias("rank")).orderBy(F.desc("rank"), F.desc("record_id")).limit(50)
 
 
 # --- extras: event time
