@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import classify, dedupe, freshness, jsonx, search, text, urls
+from millrace.functions import classify, dedupe, freshness, jsonx, location, search, text, urls
 from millrace.operators import feed, maintain, quality, upsert
 from millrace.session import table
 from millrace.sources import listing
@@ -481,6 +481,22 @@ def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("record_id", score.alias("rank")).orderBy(F.desc("rank"), F.desc("record_id")).limit(50)
 
 
+@query()
+def location_resolve(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    where = location.resolve(c("raw_country"), c("raw_state"), c("raw_city"), c("raw_postal_code"), c("raw_location_text"), c("raw_workplace_type"), c("source_is_remote"), F.lit(None).cast("string"))
+    return table(spark, d, "normalized_jobs").select("record_id", where.alias("w")).select("record_id", "w.*")
+
+
+@query("""SELECT record_id, CASE WHEN lower(trim(raw_workplace_type)) IN ('remote', 'fully remote') THEN 'REMOTE' WHEN lower(trim(raw_workplace_type)) = 'hybrid' THEN 'HYBRID'
+    WHEN lower(trim(raw_workplace_type)) IN ('onsite', 'on-site', 'on site', 'in office', 'in-office') THEN 'ONSITE' WHEN coalesce(source_is_remote, false) THEN 'REMOTE'
+    WHEN regexp_matches(raw_location_text, '(?i)\\b(hybrid|flex(ible)?\\s*(work|location))\\b') THEN 'HYBRID' WHEN regexp_matches(raw_location_text, '(?i)\\b(remote|work\\s*from\\s*home|wfh|telecommute|anywhere|distributed|virtual)\\b') THEN 'REMOTE'
+    WHEN regexp_matches(raw_location_text, '(?i)\\b(on[\\s-]?site|in[\\s-]?office|in[\\s-]?person)\\b') THEN 'ONSITE' ELSE 'UNKNOWN' END AS remote_type FROM normalized_jobs""")
+def remote_types(spark: SparkSession, d: str) -> DataFrame:
+    kind = location.remote_type(F.col("raw_workplace_type"), F.col("source_is_remote"), F.col("raw_location_text"))
+    return table(spark, d, "normalized_jobs").select("record_id", kind.alias("remote_type"))
+
+
 # --- extras: event time
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
