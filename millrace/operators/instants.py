@@ -70,7 +70,9 @@ def tidy(text: Column) -> Column:
 
 
 def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A map of plain words; one parsed text is much quicker to build than a literal each."""
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in values.items()) + ")")
 
 
 def _whole(text: Column) -> Column:
@@ -93,27 +95,30 @@ def _month_names() -> dict[str, int]:
     return {k: v for k, v in known.items() if k not in clashing}
 
 
-def epoch_micros(text: Column) -> Column:
+def epoch_micros(text: Column, digits: Column) -> Column:
     """Microseconds of a count of seconds, milli-, micro- or nanoseconds, by its number of digits; else null."""
-    digits = F.regexp_extract(text, _EPOCH, 1)
     n = digits.try_cast("long")
-    size = F.length(F.regexp_replace(digits, "-", ""))
+    size = F.length(digits) - digits.startswith("-").cast("int")
     whole = F.when(size == 10, n * MICROS).when(size == 13, n * 1000).when(size == 16, n).when(size == 19, F.floor(n / 1000).cast("long"))
-    seconds = F.regexp_extract(text, _EPOCH_FRACTION, 1).try_cast("long")
-    part = F.rpad(F.substring(F.regexp_extract(text, _EPOCH_FRACTION, 2), 1, 6), 6, "0").try_cast("long")
-    return F.coalesce(whole, seconds * MICROS + part)
+    parts = F.split(F.when((digits == "") & text.rlike(_EPOCH_FRACTION), text), r"\.")
+    fine = parts[0].try_cast("long") * MICROS + F.rpad(F.substring(parts[1], 1, 6), 6, "0").try_cast("long")
+    return F.coalesce(whole, fine)
 
 
-def offset_seconds(zone: Column) -> Column:
-    """Seconds east of UTC of a zone text that fixes them: Z, an abbreviation, an offset, or one before a bracketed name."""
-    bare = F.trim(F.regexp_replace(zone, r"\[[^\]]*\]$", ""))
+#: An offset, as sign|hours|minutes|seconds.
+_OFFSET = r"^(?:GMT|UTC|UT|Z)? ?([+\-−])(\d{1,2}):?(\d{2})?(?::?(\d{2}))?$"
+
+
+def offset_seconds(bare: Column, parts: Column) -> Column:
+    """Seconds east of UTC of a zone that fixes them: Z, an abbreviation, an offset, or one before a bracketed name.
+
+    ``bare`` is the zone without a bracketed name, ``parts`` its split offset or null.
+    """
     named = F.element_at(_literal_map({k: v * 60 for k, v in ABBREVIATIONS.items()}), F.upper(bare))
-    pattern = r"^(?:GMT|UTC|UT|Z)? ?([+\-−])(\d{1,2}):?(\d{2})?(?::?(\d{2}))?$"
-    signed = F.regexp_extract(bare, pattern, 1)
-    hours, minutes, seconds = (F.coalesce(F.regexp_extract(bare, pattern, i).try_cast("int"), F.lit(0)) for i in (2, 3, 4))
+    hours, minutes, seconds = (F.coalesce(parts[i].try_cast("int"), F.lit(0)) for i in (1, 2, 3))
     size = hours * 3600 + minutes * 60 + seconds
     fine = (hours <= 18) & (minutes < 60) & (seconds < 60)
-    return F.coalesce(F.when(bare != "", named), F.when((signed != "") & fine, F.when(signed == "+", size).otherwise(-size)))
+    return F.when(parts.isNotNull() & fine, F.when(parts[0] == "+", size).otherwise(-size)).when(parts.isNull() & (bare != ""), named)
 
 
 def normalize(
@@ -143,7 +148,9 @@ def normalize(
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("raw")) for f in fields])).alias("v"),
     ).select("_key", "_source", "v.field_name", "v.raw")
     out = one.join(about, "_source", "left").withColumn("_t", tidy(F.col("raw")))
-    out = out.withColumn("_f", F.split(canonical(F.col("_t")), r"\|"))
+    # Steps are columns of their own, so that no pattern is matched twice for a value.
+    out = out.withColumn("_digits", F.regexp_extract("_t", _EPOCH, 1))
+    out = out.withColumn("_f", F.split(F.when(F.col("_digits") == "", canonical(F.col("_t"))), r"\|"))
     # A numeric date fills the first field with "?a?b?c"; its order is that of the source.
     first = F.col("_f")[0]
     numeric = first.startswith("?")
@@ -156,23 +163,26 @@ def normalize(
     part = lambda i: F.get("_f", F.lit(i) + at)
     months = _literal_map(_month_names())
     out = out.select(
-        "_key", "field_name", "raw", "_home", "_t",
+        "_key", "field_name", "raw", "_home", "_t", "_digits",
         F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y).alias("_y"),
         F.coalesce(mo.try_cast("int"), F.element_at(months, F.lower(mo))).alias("_mo"), d.alias("_d"),
         _whole(part(3)).alias("_h"), _whole(part(4)).alias("_mi"), F.coalesce(_whole(part(5)), F.lit(0)).alias("_s"),
         F.coalesce(F.rpad(F.substring(F.when(part(6) != "", part(6)), 1, 6), 6, "0").try_cast("long"), F.lit(0)).alias("_us"),
         F.lower(part(7)).alias("_half"), F.trim(part(8)).alias("_zone"),
     )
+    day = F.concat_ws("-", F.lpad("_y", 4, "0"), F.lpad(F.col("_mo").cast("string"), 2, "0"), F.lpad("_d", 2, "0")).try_cast("date")
+    out = out.withColumn("_day", F.when(F.col("_y").isNotNull() & F.col("_mo").isNotNull() & (F.col("_y") > "0000"), day))
+    out = out.withColumn("_bare", F.trim(F.regexp_replace(F.when(F.col("_zone") != "", F.col("_zone")), r"\[[^\]]*\]$", "")))
+    out = out.withColumn("_offset_parts", F.when(F.col("_bare").rlike(_OFFSET), F.split(F.regexp_replace("_bare", _OFFSET, "$1|$2|$3|$4"), r"\|")))
     h = F.col("_h")
     half = F.coalesce(F.col("_half"), F.lit(""))
     hour = F.when(half == "", F.when(h < 24, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0))
-    day = F.concat_ws("-", F.lpad("_y", 4, "0"), F.lpad(F.col("_mo").cast("string"), 2, "0"), F.lpad("_d", 2, "0")).try_cast("date")
     clock = F.when((F.col("_mi") < 60) & (F.col("_s") < 60), ((hour * 60 + F.col("_mi")) * 60 + F.col("_s")) * MICROS + F.col("_us"))
-    local = F.when(F.col("_y").isNotNull() & F.col("_mo").isNotNull() & (F.col("_y") > "0000"), F.unix_date(day).cast("long") * DAY + clock)
+    local = F.unix_date("_day").cast("long") * DAY + clock
     stated = F.when(F.col("_zone") != "", F.col("_zone"))
     out = out.select(
-        "_key", "field_name", "raw", "_t", epoch_micros(F.col("_t")).alias("_epoch"), local.alias("_local"), F.year(day).alias("_year"),
-        offset_seconds(stated).alias("_offset"), F.coalesce(F.regexp_extract(stated, r"^\[?([^\[\]]+)\]?$", 1), F.coalesce("_home", F.lit("UTC"))).alias("_name"),
+        "_key", "field_name", "raw", "_t", epoch_micros(F.col("_t"), F.col("_digits")).alias("_epoch"), local.alias("_local"), F.year("_day").alias("_year"),
+        offset_seconds(F.col("_bare"), F.col("_offset_parts")).alias("_offset"), F.coalesce(F.regexp_extract(stated, r"^\[?([^\[\]]+)\]?$", 1), F.coalesce("_home", F.lit("UTC"))).alias("_name"),
     )
     fixed = F.coalesce("_epoch", F.col("_local") - F.col("_offset").cast("long") * MICROS)
     table = zones.grouped(spark, zones.known_zones()).select(F.lower("zone").alias("_zone_name"), F.col("local_year").alias("_zone_year"), "periods")

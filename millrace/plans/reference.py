@@ -483,9 +483,7 @@ def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def location_resolve(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    where = location.resolve(c("raw_country"), c("raw_state"), c("raw_city"), c("raw_postal_code"), c("raw_location_text"), c("raw_workplace_type"), c("source_is_remote"), F.lit(None).cast("string"))
-    return table(spark, d, "normalized_jobs").select("record_id", where.alias("w")).select("record_id", "w.*")
+    return location.resolve(table(spark, d, "normalized_jobs").select("record_id", *location.FIELDS)).select("record_id", "where.*")
 
 
 @query("""SELECT record_id, CASE WHEN lower(trim(raw_workplace_type)) IN ('remote', 'fully remote') THEN 'REMOTE' WHEN lower(trim(raw_workplace_type)) = 'hybrid' THEN 'HYBRID'

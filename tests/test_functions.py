@@ -70,7 +70,7 @@ def test_keys(spark):
 
 def place(spark, country=None, state=None, city=None, postal=None, where=None, workplace=None, remote=None, company=None, **lists):
     df = spark.createDataFrame([(country, state, city, postal, where, workplace, remote, company)], "a string, b string, c string, d string, e string, f string, g boolean, h string")
-    return df.select(location.resolve(*[F.col(x) for x in "abcdefgh"], **lists).alias("w")).select("w.*").first()
+    return location.resolve(df, tuple("abcdefg"), "h", **lists).select("where.*").first()
 
 
 def test_places(spark):
