@@ -90,32 +90,38 @@ def ordered(counted: DataFrame, plan: list[Quota], key: str, seed: int) -> DataF
 def schedule(spark, plan: list[Quota], block_tokens: int) -> DataFrame:
     """(slot, source, block): the source of every slot by golden-ratio points, and the rank of the slot in its source.
 
-    There are as many slots as blocks. A source's slots are ranked with running sums of two levels, as in ``ordered``.
+    Every block has a slot: those of a source that the sequence gives too few points come after all others.
+    A source's slots are ranked with running sums of two levels, as in ``ordered``.
     """
     blocks = {q.source: -(-q.quota // block_tokens) for q in plan if q.quota > 0}
     n = sum(blocks.values())
     if n == 0:
         return spark.createDataFrame([], "slot long, source string, block long")
-    edges, low = [], 0
+    edges, firsts, low = [], [], 0
     for s, b in sorted(blocks.items()):
         edges.append((s, low / n, (low + b) / n))
+        firsts.append((s, b, low))
         low += b
-    # The sequence meets each share up to a few slots; some more slots than blocks let every source fill its blocks.
-    slack = 64 + 8 * len(blocks)
+    # The sequence meets each share up to a few slots; some more slots than blocks let nearly every source fill its blocks.
+    size = n + (64 + 8 * len(blocks)) * len(blocks)
     point = F.expr(f"pmod((id + 1) * {GOLDEN!r}D, 1.0D)")
     source = None
     for s, _, high in edges:
         source = F.when(point < high, F.lit(s)) if source is None else source.when(point < high, F.lit(s))
     source = source.otherwise(F.lit(edges[-1][0]))
-    slots = spark.range(n + slack * len(blocks)).select(F.col("id").alias("slot"), source.alias("source"), F.floor(F.col("id") / 65536).alias("part"))
+    slots = spark.range(size).select(F.col("id").alias("slot"), source.alias("source"), F.floor(F.col("id") / 65536).alias("part"))
     sums = slots.groupBy("source", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
     inner = Window.partitionBy("source", "part").orderBy("slot")
-    slots = slots.withColumn("rank", F.row_number().over(inner)).join(F.broadcast(sums), ["source", "part"])
-    table = spark.createDataFrame(list(blocks.items()), "source string, blocks long")
+    slots = slots.withColumn("rank", F.row_number().over(inner)).join(F.broadcast(sums.drop("n")), ["source", "part"])
+    table = spark.createDataFrame(firsts, "source string, blocks long, first long")
     slots = slots.withColumn("block", F.col("ahead") + F.col("rank") - 1).join(F.broadcast(table), "source")
-    return slots.filter(F.col("block") < F.col("blocks")).select("slot", "source", "block")
+    slots = slots.filter(F.col("block") < F.col("blocks")).select("slot", "source", "block")
+    # Ranks have no gaps, so the blocks without a slot are those from the number of slots on.
+    met = table.join(sums.groupBy("source").agg(F.max(F.col("ahead") + F.col("n")).alias("met")), "source", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    late = met.filter(F.col("met") < F.col("blocks")).select("source", "first", F.explode(F.expr("sequence(met, blocks - 1)")).alias("block"))
+    return slots.union(late.select(F.col("first") + F.col("block") + size, "source", "block"))
 
 
 def _counted(df: DataFrame, key: str, text: str, source: str, folder: str, name: str) -> DataFrame:

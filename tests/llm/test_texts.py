@@ -108,3 +108,24 @@ def test_mix(spark):
     early = {r[0]: r[1] for r in mixed.filter("slot <= 20").groupBy("source").sum("n_tokens").collect()}
     assert abs(early["big"] / sum(early.values()) - 5 / 9) < 0.12
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [{"a": 3429, "b_small": 1, "c": 2570}, {"a": 4179, "b_small": 3, "c": 4818}, {"a": 1}])
+def test_every_block_has_one_slot(spark, blocks):
+    plan = [mixing.Quota(s, 0.0, 1, b * 16, b * 16 - 1) for s, b in blocks.items()]
+    rows = mixing.schedule(spark, plan, 16).collect()
+    assert sorted((r["source"], r["block"]) for r in rows) == [(s, k) for s in sorted(blocks) for k in range(blocks[s])]
+    assert len({r["slot"] for r in rows}) == len(rows)
+
+
+@needs_files
+def test_a_source_of_one_block_is_in_the_mix(spark):
+    sizes = {"a": 3429, "b_small": 1, "c": 2570}
+    rows = [(f"{s}{i}", "word word word word", s) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    targets = spark.createDataFrame([(s, float(n), 1) for s, n in sizes.items()], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets, block_tokens=len(tokens.encoder().encode("word word word word"))).cache()
+    each = mixed.groupBy().max("n_tokens").first()[0]
+    plan = mixing.quotas({s: n * each for s, n in sizes.items()}, [(s, float(n), 1) for s, n in sizes.items()])
+    reached = {r["source"]: r["tokens"] for r in mixing.shares(mixed, targets).collect()}
+    assert all(q.quota <= reached[q.source] < q.quota + each for q in plan) and reached["b_small"] == each
