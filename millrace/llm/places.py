@@ -129,6 +129,7 @@ class Gazetteer:
         n = max(1, len(self.cities))
         self.idf = {t: math.log(1 + n / k) for t, k in count.items()}
         self.longest_name = max((len(n) for n in self.names), default=0)
+        self.starts = {n[:k] for n in self.names for k in range(1, len(n) + 1)}
         self.all_words = self.vocabulary()
 
     def _name(self, name: str | None, means: tuple) -> None:
@@ -201,7 +202,8 @@ class Gazetteer:
         readings: list[tuple[str, ...]] = [()]
         for token in core:
             options = [r for r, _ in self._words(token, repairs)] or [(token,)]
-            readings = [r + o for r in readings for o in options][:64]
+            # Only starts of names are kept, so there are never more readings than the list has.
+            readings = list(dict.fromkeys(r + o for r in readings for o in options if r + o in self.starts))
         out: list[tuple] = []
         for r in readings:
             if max(map(len, r), default=0) >= ONE_EDIT_FROM:

@@ -51,3 +51,11 @@ def test_repairs_are_single_edits(spark):
     tokens = spark.createDataFrame([(t,) for t in ("fallowmere", "falowmere", "fallowmerre", "fallovmere", "fallwomere", "falowmree", "in", "im", "fals", "")], "token string")
     got = {r["token"]: {w["word"] for w in r["words"]} for r in places.repairs(tokens, words).collect()}
     assert got == {**{t: {"fallowmere"} for t in ("fallowmere", "falowmere", "fallowmerre", "fallovmere", "fallwomere")}, "in": {"in"}, "fals": {"falls"}}
+
+
+def test_long_names_with_many_repairs_per_word_are_read():
+    right, wrong = [f"right{k}" for k in "abcdefg"], [f"wrong{k}" for k in "abcdefg"]
+    rows = [(1, "state", None, "RR", " ".join(right), "US", None, None), (2, "state", None, "WW", " ".join(reversed(wrong)), "US", None, None)]
+    typed = tuple(f"typed{k}" for k in "abcdefg")
+    repairs = {t: [(w, 0.9), (r, 0.8)] for t, w, r in zip(typed, wrong, right)}
+    assert places.Gazetteer(rows)._named(typed, repairs) == [("state", ("US", "RR"))]
