@@ -60,8 +60,10 @@ NOTATIONS: tuple[tuple[str, str, str], ...] = (
     ("day_first", rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th|er|º)?\.?[ -](?:de )?{_MONTH}[ -](?:de )?(\d{{4}}|\d{{2}}),?(?: (?:at|à|um|a las|às|alle|om|-))? ?(?:(\d{{1,2}}) ?[:h] ?(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?)(?: ?Uhr)?{_HALF}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     ("month_first", rf"^{_WEEKDAY}{_MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}),?(?: at)? {_TIME}{_HALF}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 )
-_EPOCH = r"^(?:/Date\()?(-?\d{10}|-?\d{13}|-?\d{16}|-?\d{19})(?:[+-]\d{4})?(?:\)/)?$"
-_EPOCH_FRACTION = r"^(\d{10})\.(\d+)$"
+#: Twelve bare digits that are also a year to minute name two instants, so they are no count.
+_TO_MINUTE = r"(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[01]\d|2[0-3])[0-5]\d"
+_EPOCH = rf"^(?!{_TO_MINUTE}$)(?:/Date\()?(-?\d{{9,10}}|-?\d{{12,13}}|-?\d{{15,16}}|-?\d{{18,19}})(?:[+-]\d{{4}})?(?:\)/)?$"
+_EPOCH_FRACTION = r"^(\d{9,10})\.(\d+)$"
 
 
 def tidy(text: Column) -> Column:
@@ -96,10 +98,13 @@ def _month_names() -> dict[str, int]:
 
 
 def epoch_micros(text: Column, digits: Column) -> Column:
-    """Microseconds of a count of seconds, milli-, micro- or nanoseconds, by its number of digits; else null."""
+    """Microseconds of a count of seconds, milli-, micro- or nanoseconds, by its number of digits; else null.
+
+    Seconds have 9 or 10 digits, finer units 3, 6 or 9 more: fewer (before March 1973) could be a day.
+    """
     n = digits.try_cast("long")
     size = F.length(digits) - digits.startswith("-").cast("int")
-    whole = F.when(size == 10, n * MICROS).when(size == 13, n * 1000).when(size == 16, n).when(size == 19, F.floor(n / 1000).cast("long"))
+    whole = F.when(size.isin(9, 10), n * MICROS).when(size.isin(12, 13), n * 1000).when(size.isin(15, 16), n).when(size.isin(18, 19), F.floor(n / 1000).cast("long"))
     parts = F.split(F.when((digits == "") & text.rlike(_EPOCH_FRACTION), text), r"\.")
     fine = parts[0].try_cast("long") * MICROS + F.rpad(F.substring(parts[1], 1, 6), 6, "0").try_cast("long")
     return F.coalesce(whole, fine)

@@ -87,3 +87,13 @@ def test_periods_agree_with_the_zone_database(zone):
     for start, end, offset in found:
         for at in (start, (start + end) // 2, end - 1):
             assert datetime.fromtimestamp(at, z).utcoffset().total_seconds() == offset
+
+
+def test_counts_before_september_2001(spark):
+    cases = [
+        ("987654321", 987654321_000000), ("987654321012", 987654321_012000), ("987654321012345", 987654321_012345), ("987654321012345678", 987654321_012345),
+        ("-987654321", -987654321_000000), ("987654321.25", 987654321_250000), ("/Date(202608081530)/", 202608081_530000), ("202608081530", None), ("202699991530", 202699991_530000), ("87654321", None),
+    ]
+    df = spark.createDataFrame([(i, "plain", t) for i, (t, _) in enumerate(cases)], "id long, source string, at string")
+    got = {r["id"]: (r["status"], r["utc_micros"]) for r in instants.normalize(df, "id", ["at"], "source", _sources(spark)).collect()}
+    assert [(c, got[i]) for i, c in enumerate(cases) if got[i] != ("ok" if c[1] is not None else "unreadable", c[1])] == []
