@@ -82,11 +82,12 @@ def probability(params: dict[str, tuple[float, float]], priors: Priors) -> Colum
     return 1 / (1 + F.exp(-_log_odds(params, priors)))
 
 
-def infer(fact_rows: DataFrame, priors: Priors = Priors(), rounds: int = 15, tolerance: float = 1e-3) -> dict[str, tuple[float, float]]:
+def infer(fact_rows: DataFrame, priors: Priors = Priors(), rounds: int = 1000, tolerance: float = 1e-3) -> dict[str, tuple[float, float]]:
     """Sensitivity and false-positive rate of each source.
 
     Facts with the same sayers and deniers count together, so a round goes over the distinct
-    patterns only and returns one row per source to the driver.
+    patterns only and returns one row per source to the driver. Rates that haven't settled to the
+    tolerance after ``rounds`` are an error.
     """
     patterns = session.cut(fact_rows.groupBy("said", "denied").agg(F.count("*").alias("n")))
     names = [r[0] for r in patterns.select(F.explode(F.array_union("said", "denied")).alias("s")).distinct().collect()]
@@ -107,13 +108,14 @@ def infer(fact_rows: DataFrame, priors: Priors = Priors(), rounds: int = 15, tol
         moved = max((abs(a - b) for s in new for a, b in zip(new[s], params[s])), default=0.0)
         params = new
         if moved < tolerance:
-            break
-    return params
+            return params
+    raise RuntimeError(f"rates of sources not settled after {rounds} rounds: moved by {moved:.2g}")
 
 
 def grouped_rows(df: DataFrame, sources: DataFrame, node: str = "source_row_id", fields: Sequence[str] = FULLNESS_FIELDS) -> DataFrame:
     """The rows of groups of two or more with group_id, source_name, trust, fullness; cut from their lineage.
 
+    A source that ``sources`` lacks keeps its name and has the worst trust; a null one is "(other)".
     Rows without an id, and rows that share no key, are in no group. Further rows of one id count as that row.
     """
     g = groups(df, node, [F.concat(F.lit("u:"), F.col("apply_url_hash")), F.concat(F.lit("f:"), F.col("content_fingerprint"))])
@@ -121,8 +123,8 @@ def grouped_rows(df: DataFrame, sources: DataFrame, node: str = "source_row_id",
     full = sum((F.when(real(F.col(f)).isNotNull(), 1).otherwise(0) for f in fields), F.lit(0))
     kept = dict.fromkeys(["title", *fields])
     rows = df.select(F.col(node), F.col("source").alias("_s"), "last_updated_at", full.alias("fullness"), *kept).join(g, node)
-    rows = rows.join(F.broadcast(about), F.col("_s") == F.col("source_name"), "left").drop("_s")
-    rows = rows.withColumn("source_name", F.coalesce("source_name", F.lit(OTHER_SOURCE))).withColumn("trust", F.coalesce("trust", F.lit(2**31 - 1)))
+    rows = rows.join(F.broadcast(about), F.col("_s") == F.col("source_name"), "left")
+    rows = rows.withColumn("source_name", F.coalesce("_s", F.lit(OTHER_SOURCE))).drop("_s").withColumn("trust", F.coalesce("trust", F.lit(2**31 - 1)))
     return session.cut(rows)
 
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
+
 from millrace.llm import truth
 
 SCHEMA = (
@@ -60,3 +62,18 @@ def test_survivors_keep_every_true_value(spark):
     assert got[(3, "title")]["value"] == "Clerk" and "Clerk" in got[(3, "title")]["true_values"] and got[(3, "title")]["probability"] > 0.5
     params = truth.infer(truth.facts(truth.grouped_rows(*frames(spark, rows)), ("title",)))
     assert params["poor"][0] < params["good"][0] and params["poor"][1] >= params["good"][1]
+
+
+def test_unknown_sources_keep_their_names_and_votes(spark):
+    rows = truth.grouped_rows(*frames(spark, [row(1, "good", "a", None), row(2, "new1", "a", None, city="Hull"), row(3, "new2", "a", None, city="Hull"), row(4, None, "a", None, city="Hull")]))
+    assert {(r["source_name"], r["trust"]) for r in rows.collect()} == {("good", 1), ("new1", 2**31 - 1), ("new2", 2**31 - 1), (truth.OTHER_SOURCE, 2**31 - 1)}
+    said = {r["value"]: r["said"] for r in truth.facts(rows, ("city",)).collect()}
+    assert said["Hull"] == [truth.OTHER_SOURCE, "new1", "new2"]
+
+
+def test_rates_settle_or_fail(spark):
+    rows = [row(i, s, f"g{g}", None, city=c) for g in range(9) for i, s, c in ((3 * g, "good", "Yell"), (3 * g + 1, "fair", "Yell"), (3 * g + 2, "poor", f"Hull{g}"))]
+    known = truth.facts(truth.grouped_rows(*frames(spark, rows)), ("city",))
+    with pytest.raises(RuntimeError, match="not settled after 1 rounds"):
+        truth.infer(known, rounds=1)
+    assert set(truth.infer(known)) == {"good", "fair", "poor"}
