@@ -1,14 +1,14 @@
 """Mixing sources to target shares of all tokens.
 
-A low-discrepancy sequence (the fractional parts of k times the golden ratio) mapped through the
-cumulative weights gives the source of slot k, so every stretch of the mix has the shares of the
-whole. Texts of a source are put in a pseudo-random order once per repetition and cut into blocks
-of equal tokens; the n-th slot of a source takes its n-th block.
+The van der Corput sequence (the bits of k in reverse order) mapped through the cumulative weights
+gives the source of slot k, so every stretch of the mix has the shares of the whole. Texts of a
+source are put in a pseudo-random order once per repetition and cut into blocks of equal tokens;
+the n-th slot of a source takes its n-th block. All arithmetic is in integers and no step looks at
+where a row lies, so the mix is the same on any cluster.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from millrace import session
 from millrace.llm import tokens
 
-GOLDEN = (math.sqrt(5) - 1) / 2
 #: Parts of a source and repetition over which running sums are added up in two levels.
 PARTS = 4096
 
@@ -69,72 +68,87 @@ def quotas(available: dict[str, int], targets: list[tuple[str, float, int]], tot
 def ordered(counted: DataFrame, plan: list[Quota], key: str, seed: int) -> DataFrame:
     """Texts with repetition and the tokens that come before them in their source (``before``), as far as the quota goes.
 
-    The order is by a hash, repetition by repetition. Running sums have two levels: the sums of
-    PARTS ranges of the hash per source and repetition, and sums within a range, so a source that
-    holds most of the rows is spread over all tasks.
+    The order is by a hash of key and text, repetition by repetition; rows that agree in both are
+    interchangeable. Running sums have two levels: the sums of PARTS ranges of the hash per source
+    and repetition, and sums within a range, so a source that holds most of the rows is spread over
+    all tasks. Both sides of the join of the two are parted alike; Spark broadcasts the sums where they are small.
     """
     spark = counted.sparkSession
     wanted = [(q.source, rep, q.quota) for q in plan for rep in range(q.max_repeats) if q.available * rep < q.quota]
     table = spark.createDataFrame(wanted, "source string, repetition int, quota long")
-    rows = counted.join(F.broadcast(table), "source").withColumn("order", F.xxhash64(key, "row_no", "repetition", F.lit(seed)))
+    rows = counted.join(table, "source").withColumn("order", F.xxhash64(key, "content", "repetition", F.lit(seed)))
     rows = rows.withColumn("part", F.shiftright("order", 52).cast("int"))  # signed: orders like the hash
     sums = rows.groupBy("source", "repetition", "part").agg(F.sum("n_tokens").alias("in_part"))
     ahead = Window.partitionBy("source").orderBy("repetition", "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("in_part").over(ahead), F.lit(0))).drop("in_part")
-    within = Window.partitionBy("source", "repetition", "part").orderBy("order", key, "row_no").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "repetition", "part").orderBy("order", key, "content").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    rows = rows.join(F.broadcast(sums), ["source", "repetition", "part"]).withColumn("before", F.col("ahead") + F.col("inner"))
-    return rows.filter(F.col("before") < F.col("quota")).drop("order", "part", "ahead", "inner", "quota")
+    rows = rows.join(sums, ["source", "repetition", "part"]).withColumn("before", F.col("ahead") + F.col("inner"))
+    return rows.filter(F.col("before") < F.col("quota")).drop("order", "part", "ahead", "inner", "quota", "content")
+
+
+def reversed_bits(value: Column, bits: int) -> Column:
+    """The lowest ``bits`` bits of a number in reverse order."""
+    out = F.lit(0).cast("long")
+    for i in range(bits):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(value, i).bitwiseAND(F.lit(1).cast("long")), bits - 1 - i))
+    return out
+
+
+def rank_of(slot: Column, point: Column, low: Column, high: Column, bits: int) -> Column:
+    """How many of the slots before ``slot`` have their point in [low, high); ``point`` is that of the slot.
+
+    The slots before it are, for every bit that is set, those that agree above the bit and have 0
+    there; their points are evenly spaced, so each such set is counted by two divisions.
+    """
+    total = F.lit(0).cast("long")
+    for t in range(bits):
+        gap = bits - t  # such points differ by 2^gap
+        base = point.bitwiseAND(F.lit((1 << (gap - 1)) - 1).cast("long"))
+        upto = lambda edge: F.shiftright(edge - base + F.lit((1 << gap) - 1), gap)  # noqa: B023, E731
+        total = total + F.when(F.shiftright(slot, t).bitwiseAND(F.lit(1).cast("long")) == 1, upto(high) - upto(low)).otherwise(0)
+    return total
 
 
 def schedule(spark, plan: list[Quota], block_tokens: int) -> DataFrame:
-    """(slot, source, block): the source of every slot by golden-ratio points, and the rank of the slot in its source.
+    """(slot, source, block): the source of every slot by van der Corput points, and the rank of the slot in its source.
 
-    Every block has a slot: those of a source that the sequence gives too few points come after all others.
-    A source's slots are ranked with running sums of two levels, as in ``ordered``.
+    There are 2^m points, no fewer than blocks, and each occurs once; a source with b of n blocks owns an interval
+    of at least b points, so every block has a slot whatever the sizes. Slots behind a source's last block stay empty,
+    which leaves gaps in the numbers. Ranks are worked out slot by slot, without a shuffle.
     """
     blocks = {q.source: -(-q.quota // block_tokens) for q in plan if q.quota > 0}
     n = sum(blocks.values())
     if n == 0:
         return spark.createDataFrame([], "slot long, source string, block long")
-    edges, firsts, low = [], [], 0
+    bits = (n - 1).bit_length()
+    edges, below = [], 0
     for s, b in sorted(blocks.items()):
-        edges.append((s, low / n, (low + b) / n))
-        firsts.append((s, b, low))
-        low += b
-    # The sequence meets each share up to a few slots; some more slots than blocks let nearly every source fill its blocks.
-    size = n + (64 + 8 * len(blocks)) * len(blocks)
-    point = F.expr(f"pmod((id + 1) * {GOLDEN!r}D, 1.0D)")
-    source = None
-    for s, _, high in edges:
-        source = F.when(point < high, F.lit(s)) if source is None else source.when(point < high, F.lit(s))
-    source = source.otherwise(F.lit(edges[-1][0]))
-    slots = spark.range(size).select(F.col("id").alias("slot"), source.alias("source"), F.floor(F.col("id") / 65536).alias("part"))
-    sums = slots.groupBy("source", "part").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    inner = Window.partitionBy("source", "part").orderBy("slot")
-    slots = slots.withColumn("rank", F.row_number().over(inner)).join(F.broadcast(sums.drop("n")), ["source", "part"])
-    table = spark.createDataFrame(firsts, "source string, blocks long, first long")
-    slots = slots.withColumn("block", F.col("ahead") + F.col("rank") - 1).join(F.broadcast(table), "source")
-    slots = slots.filter(F.col("block") < F.col("blocks")).select("slot", "source", "block")
-    # Ranks have no gaps, so the blocks without a slot are those from the number of slots on.
-    met = table.join(sums.groupBy("source").agg(F.max(F.col("ahead") + F.col("n")).alias("met")), "source", "left").withColumn("met", F.coalesce("met", F.lit(0)))
-    late = met.filter(F.col("met") < F.col("blocks")).select("source", "first", F.explode(F.expr("sequence(met, blocks - 1)")).alias("block"))
-    return slots.union(late.select(F.col("first") + F.col("block") + size, "source", "block"))
+        low, high = (-(-(x << bits) // n) for x in (below, below + b))
+        edges.append((s, low, high, b))
+        below += b
+    point = F.col("point")
+    owner = None
+    for s, low, high, b in edges:
+        about = F.struct(F.lit(s).alias("source"), *[F.lit(v).cast("long").alias(k) for k, v in (("low", low), ("high", high), ("blocks", b))])
+        owner = F.when(point < high, about) if owner is None else owner.when(point < high, about)
+    slots = spark.range(1 << bits).select(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point")).select("slot", "point", owner.alias("o")).select("slot", "point", "o.*")
+    slots = slots.withColumn("block", rank_of(F.col("slot"), point, F.col("low"), F.col("high"), bits))
+    return slots.filter(F.col("block") < F.col("blocks")).select("slot", "source", "block")
 
 
 def _counted(df: DataFrame, key: str, text: str, source: str, folder: str, name: str) -> DataFrame:
-    """Key, source, row_no and tokens of every text that has any; written once, for it is read twice."""
-    rows = df.select(F.col(key), F.col(source).alias("source"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row_no"))
-    return session.cut(tokens.count(rows, (key, "source", "row_no"), "text", folder, name).filter("n_tokens > 0 and source is not null"))
+    """Key, source, a hash of the text and tokens of every text that has any; written once, for it is read twice."""
+    body = F.col(text).cast("string")
+    rows = df.select(F.col(key), F.col(source).alias("source"), F.xxhash64(body).alias("content"), body.alias("text"))
+    return session.cut(tokens.count(rows, (key, "source", "content"), "text", folder, name).filter("n_tokens > 0 and source is not null"))
 
 
 def _plan(counted: DataFrame, targets: DataFrame, total: int | None) -> list[Quota]:
     # Both are one row per target: the targets are a small table of the caller.
     wanted = [(r[0], r[1], r[2]) for r in targets.select("source", "target_share", "max_repeats").collect()]
     names = targets.select("source").distinct()
-    sizes = counted.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    sizes = counted.join(names, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     return quotas({r["source"]: r["n"] for r in sizes}, wanted, total)
 
 
@@ -152,7 +166,7 @@ def mix(
 ) -> DataFrame:
     """The mix: slot, block, source, repetition, position (tokens before it in its source), key, n_tokens.
 
-    Reading by (slot, position) gives the mix in order. No text comes more often than its source's
+    Reading by (slot, position) gives the mix in order, the same for the same rows however they are stored. No text comes more often than its source's
     ``max_repeats``. Texts without tokens, without a source or of a source without a target are not
     in the mix. Empty tables give an empty mix.
     """
@@ -167,8 +181,8 @@ def mix(
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: source, target_share, max_repeats, texts, tokens, share and most_repeats reached; zeros for a source without text."""
     reached = mixed.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"), (F.max("repetition") + 1).alias("most_repeats"))
-    total = mixed.agg(F.sum("n_tokens").alias("all_tokens"))
-    out = targets.join(reached, "source", "left").crossJoin(F.broadcast(total))
+    reached = reached.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # one row per source with a target
+    out = targets.join(reached, "source", "left")
     zero: Column = F.lit(0)
     return out.select(
         "source", "target_share", "max_repeats", F.coalesce("texts", zero).alias("texts"), F.coalesce("tokens", zero).alias("tokens"),

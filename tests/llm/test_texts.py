@@ -110,7 +110,7 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [{"a": 3429, "b_small": 1, "c": 2570}, {"a": 4179, "b_small": 3, "c": 4818}, {"a": 1}])
+@pytest.mark.parametrize("blocks", [{"a": 3429, "b_small": 1, "c": 2570}, {"a": 4179, "b_small": 3, "c": 4818}, {"a": 1}, {"a": 8, "b": 8}, {"a": 1, "b": 2, "c": 1, "d": 29}])
 def test_every_block_has_one_slot(spark, blocks):
     plan = [mixing.Quota(s, 0.0, 1, b * 16, b * 16 - 1) for s, b in blocks.items()]
     rows = mixing.schedule(spark, plan, 16).collect()
@@ -118,6 +118,26 @@ def test_every_block_has_one_slot(spark, blocks):
     assert len({r["slot"] for r in rows}) == len(rows)
 
 
+def test_a_small_source_beside_a_million_blocks_loses_none(spark):
+    sizes = {"a": 1_000_000, "b": 4, "c": 300_007}
+    rows = mixing.schedule(spark, [mixing.Quota(s, 0.0, 1, b * 16, b * 16) for s, b in sizes.items()], 16).cache()
+    got = {r["source"]: (r["n"], r["d"], r["hi"]) for r in rows.groupBy("source").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(
+        rows.groupBy("source").agg({"block": "max"}).withColumnRenamed("max(block)", "hi"), "source").join(
+        rows.select("source", "block").distinct().groupBy("source").count().withColumnRenamed("count", "d"), "source").collect()}
+    assert got == {s: (b, b, b - 1) for s, b in sizes.items()}
+    early = {r[0]: r[1] for r in rows.filter("slot < 13000").groupBy("source").count().collect()}
+    assert abs(early["c"] / sum(early.values()) - 300_007 / 1_300_011) < 0.002
+
+
+@needs_files
+def test_the_mix_does_not_depend_on_where_rows_lie(spark):
+    rows = [(i if i % 11 else None, "word " * (1 + i % 9) + str(i % 50), "ab"[i % 2]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    got = [sorted(map(str, mixing.mix(d, targets, block_tokens=128).collect())) for d in (df.coalesce(1), df.repartition(7), df.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 600
+
+
 @needs_files
 def test_a_source_of_one_block_is_in_the_mix(spark):
     sizes = {"a": 3429, "b_small": 1, "c": 2570}
