@@ -101,13 +101,15 @@ def rank_of(slot: Column, point: Column, low: Column, high: Column, bits: int) -
     The slots before it are, for every bit that is set, those that agree above the bit and have 0
     there; their points are evenly spaced, so each such set is counted by two divisions.
     """
-    total = F.lit(0).cast("long")
-    for t in range(bits):
-        gap = bits - t  # such points differ by 2^gap
-        base = point.bitwiseAND(F.lit((1 << (gap - 1)) - 1).cast("long"))
-        upto = lambda edge: F.shiftright(edge - base + F.lit((1 << gap) - 1), gap)  # noqa: B023, E731
-        total = total + F.when(F.shiftright(slot, t).bitwiseAND(F.lit(1).cast("long")) == 1, upto(high) - upto(low)).otherwise(0)
-    return total
+    one = F.lit(1).cast("long")
+
+    def step(total: Column, t: Column) -> Column:
+        gap = F.lit(bits) - t  # the points of these slots differ by 2^gap
+        base = point % F.call_function("shiftleft", one, gap - 1)
+        upto = lambda edge: F.call_function("shiftright", edge - base + F.call_function("shiftleft", one, gap) - 1, gap)
+        return total + F.when(F.call_function("shiftright", slot, t).bitwiseAND(one) == 1, upto(high) - upto(low)).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), step) if bits else F.lit(0).cast("long")
 
 
 def schedule(spark, plan: list[Quota], block_tokens: int) -> DataFrame:
@@ -132,7 +134,9 @@ def schedule(spark, plan: list[Quota], block_tokens: int) -> DataFrame:
     for s, low, high, b in edges:
         about = F.struct(F.lit(s).alias("source"), *[F.lit(v).cast("long").alias(k) for k, v in (("low", low), ("high", high), ("blocks", b))])
         owner = F.when(point < high, about) if owner is None else owner.when(point < high, about)
-    slots = spark.range(1 << bits).select(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point")).select("slot", "point", owner.alias("o")).select("slot", "point", "o.*")
+    once = lambda c: F.explode(F.array(c)).alias("x")  # noqa: E731  # a generator keeps what it makes from being worked out again for every use
+    slots = spark.range(1 << bits).select(once(F.struct(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point")))).select("x.*")
+    slots = slots.select("slot", "point", once(owner)).select("slot", "point", "x.*")
     slots = slots.withColumn("block", rank_of(F.col("slot"), point, F.col("low"), F.col("high"), bits))
     return slots.filter(F.col("block") < F.col("blocks")).select("slot", "source", "block")
 
