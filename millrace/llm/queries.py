@@ -60,8 +60,12 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.forms(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_unmatched, p3_found, p3_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_unmatched, p3_found, p3_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
 _SHARED_KEYS = """

@@ -40,14 +40,39 @@ def test_copies_nulls_and_empty_tables(spark):
 
 
 def test_forms_are_equal_and_stable(spark):
-    mapper = canonical.Mapper(canonical.mapping())
+    mapper = canonical.Mapper(canonical.rules(canonical.look_alikes(spark)))
     rnd = random.Random(5)
-    signs = "ab рс̧́ﬁ１ｶﾞ\r\n é한Ωµ"
+    signs = "ab рс̧́ﬁ１ｶﾞ\r\n é한Ωµ"
     for _ in range(300):
         t = "".join(rnd.choice(signs) for _ in range(rnd.randrange(12)))
         once = mapper([t])[0]
         assert mapper([once])[0] == once and unicodedata.is_normalized("NFC", once)
-    assert canonical.readable(mapper(["Город Москва pаy"])[0]) == "Город Москва pay"
+    assert mapper(["Город Москва pаy"])[0] == "Город Москва pay" and mapper(["Ωμέγα νόμος vаn"])[0] == "Ωμέγα νόμος van"
+
+
+def test_order_and_composition_agree_with_the_standard():
+    mapper = canonical.Mapper(canonical.rules({}, {}))
+    rnd = random.Random(6)
+    pool = [chr(c) for c in range(0xA0, 0x30000) if unicodedata.category(chr(c))[0] in "LM"]
+    marks = [c for c in pool if unicodedata.combining(c)]
+    composed = [c for c in pool if unicodedata.decomposition(c)]
+    jamo = [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
+    texts = ["".join(rnd.choice(rnd.choice((pool, marks, composed, jamo, "aeoucAEOUC"))) for _ in range(rnd.randrange(25))) for _ in range(3000)]
+    texts += ["", "\u0301", "a", "\u0301\u0327", "가각", "각"]
+    assert mapper(texts) == [unicodedata.normalize("NFC", t).rstrip() for t in texts]
+
+
+def test_look_alike_letters_come_from_a_table(spark):
+    alike = canonical.look_alikes(spark)
+    assert len(alike) > 120 and {alike[c] for c in "аΑՕᎠꓮ"} == {"a", "A", "O", "D"} and not set("жЖλéñä") & set(alike)
+    assert all(a not in "αγ" and len(b) == 1 and b.isascii() for a, b in alike.items())
+
+
+def test_classes_of_forms(spark):
+    rows = [(5, "pay scale"), (3, "раy scale"), (4, "pay scale"), (9, "other"), (8, None), (7, " "), (None, "other"), (9, "other")]
+    got = sorted(tuple(r) for r in canonical.classes(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(3, 3, 2), (4, 3, 2), (5, 3, 2), (9, 9, 1), (9, 9, 1)]
+    assert canonical.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
 needs_files = pytest.mark.skipif(not Path(tokens.DEFAULT_FOLDER).is_dir(), reason="no vocabularies here")
