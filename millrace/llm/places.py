@@ -1,9 +1,11 @@
 """Free-entered places mapped to the entries of a reference list.
 
-Each distinct token of the texts is joined with the vocabulary of the list by edit distance; the
-corrected tokens of a text are combined by soft TF-IDF to rank complete entries. Codes and names
-that stand for several things (IN: Indiana or India) keep all their readings until the other values
-of the record tell them apart.
+Each distinct token of the texts is joined with the vocabulary of the list by edit distance. Names
+of the list are indexed by their rarest word, so a text is joined with those names only whose rarest
+word it holds, and its corrected tokens are combined by soft TF-IDF to rank these or refuse them.
+The list is a table like the texts and may be of any length; no part of it is held by the driver.
+Codes and names that stand for several things (IN: Indiana or India) keep all their readings until
+the other values of the record tell them apart.
 """
 
 from __future__ import annotations
@@ -11,12 +13,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import session
@@ -25,10 +26,12 @@ from millrace.operators import skew
 
 #: A token of so many letters may have one edit: a letter more, less, changed, or two neighbours swapped.
 ONE_EDIT_FROM = 4
-#: How far a text may be from an entry's name by soft TF-IDF; every word of both must have found its partner.
+#: The least soft TF-IDF similarity of a text and an entry's name.
 LEAST_SCORE = 0.75
+#: A word of either that finds no partner weighs so many times as much as the rarest word of the list.
+UNMATCHED = 3.0
 
-# Short forms of words in names.
+# Fixed values, the default of the alias table: short forms of words in names.
 SHORT_WORDS: dict[str, tuple[str, ...]] = {
     "mt": ("mount",), "mnt": ("mount",), "ft": ("fort",), "frt": ("fort",), "st": ("saint",), "ste": ("saint",), "pt": ("port",), "prt": ("port",),
     "n": ("north",), "no": ("north",), "nth": ("north",), "s": ("south",), "so": ("south",), "e": ("east",), "w": ("west",),
@@ -36,7 +39,7 @@ SHORT_WORDS: dict[str, tuple[str, ...]] = {
     "brit": ("british",),
 }
 
-# Other names of countries, by code.
+# Fixed values, likewise: other names of countries, by code.
 COUNTRY_NAMES: dict[str, tuple[str, ...]] = {
     "US": ("us", "usa", "u s", "u s a", "united states", "united states of america", "the united states", "the united states of america", "america", "estados unidos", "etats unis", "vereinigte staaten", "vereinigte staaten von amerika", "stati uniti", "the us", "the usa", "unitedstates"),
     "IN": ("ind", "india", "bharat", "indien", "inde", "republic of india", "hindustan"),
@@ -46,7 +49,7 @@ COUNTRY_NAMES: dict[str, tuple[str, ...]] = {
     "AU": ("au", "aus", "australia", "australien", "australie", "commonwealth of australia"),
 }
 
-# Other names of states, by country and code.
+# Fixed values, likewise: other names of states, by country and code.
 STATE_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
     ("US", "CA"): ("calif", "cali", "cal"), ("US", "TX"): ("tex",), ("US", "NY"): ("n y", "new york state", "nys"), ("US", "FL"): ("fla", "flor"),
     ("US", "IL"): ("ill", "ills"), ("US", "GA"): ("geo",), ("US", "NC"): ("n c", "n carolina", "no carolina", "n car"), ("US", "MI"): ("mich",),
@@ -95,68 +98,47 @@ def one_swap(a: str, b: str) -> bool:
     return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
 
 
-@dataclass
 class Gazetteer:
-    """The reference list with what is needed to read texts; a few hundred entries."""
+    """The names that a batch of texts can mean, with what is needed to read them.
 
-    rows: list[tuple]
-    names: dict[str, list[tuple[str, tuple]]] = field(default_factory=lambda: defaultdict(list))
+    ``names`` are rows (place_id, kind, state_code, country_code, tokens, weights, key); ``top`` is
+    the weight of a word that one name only has.
+    """
 
-    def __post_init__(self) -> None:
-        self.cities: list[tuple[int, tuple[str, ...], str, str]] = []
+    def __init__(self, names: Iterable[tuple], top: float):
+        self.top = top
+        self.cities: list[tuple[int, tuple[str, ...], dict[str, float]]] = []
+        self.names: dict[tuple[str, ...], list[tuple]] = defaultdict(list)
         self.states: dict[tuple[str, str], int] = {}
         self.countries: dict[str, int] = {}
-        for place_id, level, city, state_code, state_name, country_code, country_name, alt in self.rows:
-            if level == "country":
-                self.countries[country_code] = place_id
-                for n in (country_code, country_name, *COUNTRY_NAMES.get(country_code, ())):
-                    self._name(n, ("country", country_code))
-            elif level == "state":
-                self.states[(country_code, state_code)] = place_id
-                for n in (state_code, state_name, *STATE_NAMES.get((country_code, state_code), ())):
-                    self._name(n, ("state", (country_code, state_code)))
-            elif level == "city":
-                for n in (city, *(alt or "").split("|")):
-                    if tokens := tuple(_TOKEN.findall(tidy(n or ""))):
-                        self.cities.append((place_id, tokens, state_code, country_code))
-        self.place = {p: (s, c) for p, _, s, c in self.cities}
-        self.by_token: dict[str, set[int]] = defaultdict(set)
-        count: Counter = Counter()
-        for i, (_, tokens, _, _) in enumerate(self.cities):
-            for t in set(tokens):
-                self.by_token[t].add(i)
-                count[t] += 1
-        n = max(1, len(self.cities))
-        self.idf = {t: math.log(1 + n / k) for t, k in count.items()}
+        self.place: dict[int, tuple[str, str]] = {}
+        self.by_key: dict[str, list[int]] = defaultdict(list)
+        for place_id, kind, state, country, tokens, weights, key in sorted(names, key=lambda r: (r[0], r[4])):
+            tokens = tuple(tokens)
+            if kind == "city":
+                self.place[place_id] = (state, country)
+                self.by_key[key].append(len(self.cities))
+                self.cities.append((place_id, tokens, dict(zip(tokens, weights))))
+                continue
+            means = ("country", country) if kind == "country" else ("state", (country, state))
+            if kind == "country":
+                self.countries[country] = place_id
+            else:
+                self.states[country, state] = place_id
+            if means not in self.names[tokens]:
+                self.names[tokens].append(means)
+        for means in self.names.values():
+            means.sort(key=str)
         self.longest_name = max((len(n) for n in self.names), default=0)
         self.starts = {n[:k] for n in self.names for k in range(1, len(n) + 1)}
-        self.all_words = self.vocabulary()
-
-    def _name(self, name: str | None, means: tuple) -> None:
-        tokens = tuple(_TOKEN.findall(tidy(name or "")))
-        if tokens and means not in self.names[tokens]:
-            self.names[tokens].append(means)
-
-    def vocabulary(self) -> dict[str, tuple[str, ...]]:
-        """Words of the list, and names of several words written as one."""
-        out: dict[str, tuple[str, ...]] = {}
-        for tokens in [t for _, t, _, _ in self.cities] + [t for t in self.names if max(map(len, t)) > 3]:
-            for t in tokens:
-                if len(t) >= ONE_EDIT_FROM or t in self.by_token:
-                    out[t] = (t,)
-            if len(tokens) > 1:
-                out.setdefault("".join(tokens), tokens)
-        return out
 
-    def _words(self, token: str, repairs: dict[str, list[tuple[str, float]]]) -> list[tuple[tuple[str, ...], float]]:
+    @staticmethod
+    def _words(token: str, repairs: dict[str, list[tuple[tuple[str, ...], float]]]) -> list[tuple[tuple[str, ...], float]]:
         """Readings of one token as words of the list, with their closeness."""
-        out = [(SHORT_WORDS[token], 1.0)] if token in SHORT_WORDS else []
-        vocabulary = self.all_words
-        out.extend((vocabulary[w], sim) for w, sim in repairs.get(token, ()) if w in vocabulary)
-        return out
+        return repairs.get(token, [])
 
     def _cities(self, tokens: tuple[str, ...], repairs: dict) -> dict[int, float]:
-        """Entries whose name the tokens give word by word, by soft TF-IDF."""
+        """Entries whose name the tokens give, by soft TF-IDF."""
         near: list[dict[str, float]] = []
         for token in tokens:
             words: dict[str, float] = {}
@@ -169,27 +151,26 @@ class Gazetteer:
         return self._scored(near)
 
     def _scored(self, near: list[dict[str, float]]) -> dict[int, float]:
-        if not near or not all(near):
-            return {}
-        rare = min(near, key=lambda w: sum(len(self.by_token.get(x, ())) for x in w))
+        """The similarity of each entry that reaches LEAST_SCORE: the cosine of the weights of text and name, with the closeness of each pair of words."""
+        lost = (UNMATCHED * self.top) ** 2
         out: dict[int, float] = {}
-        for i in {i for w in rare for i in self.by_token.get(w, ())}:
-            place, name, _, _ = self.cities[i]
-            if len(name) != len(near):
-                continue
-            left, dot, size = list(name), 0.0, 0.0
+        for i in {i for words in near for w in words for i in self.by_key.get(w, ())}:
+            place, name, weight = self.cities[i]
+            left, dot, ours, theirs = list(name), 0.0, 0.0, 0.0
             for words in near:
                 sim, word = max(((words.get(w, 0.0), w) for w in left), default=(0.0, ""))
                 if sim <= 0:
-                    break
+                    ours += lost
+                    continue
                 left.remove(word)
-                weight = self.idf[word]
-                dot += sim * weight * weight
-                size += weight * weight
-            if not left:
-                score = dot / size
-                if score >= LEAST_SCORE:
-                    out[place] = max(score, out.get(place, 0.0))
+                square = weight[word] ** 2
+                dot += sim * square
+                ours += square
+                theirs += square
+            theirs += lost * len(left)
+            score = dot / math.sqrt(ours * theirs) if dot else 0.0
+            if score >= LEAST_SCORE:
+                out[place] = max(score, out.get(place, 0.0))
         return out
 
     def _named(self, tokens: tuple[str, ...], repairs: dict) -> list[tuple]:
@@ -239,7 +220,7 @@ class Gazetteer:
                     return inner, [*beside, means], kind
         return {}, [], "unknown"
 
-    def resolve(self, city: str | None, state: str | None, country: str | None, repairs: dict[str, list[tuple[str, float]]]) -> int:
+    def resolve(self, city: str | None, state: str | None, country: str | None, repairs: dict[str, list[tuple[tuple[str, ...], float]]]) -> int:
         """The most specific entry that the three values together name, 0 if there is none or several."""
         named: list[tuple[str, list[tuple]]] = []
         cities: list[dict[int, float]] = []
@@ -294,36 +275,75 @@ class Gazetteer:
         return self.countries.get(fitting[0], 0) if len(fitting) == 1 else 0
 
 
-def _gazetteer(places: DataFrame) -> Gazetteer:
-    """The reference list on the driver: a fixed table of some hundred entries, checked to be small."""
-    columns = ("place_id", "place_level", "city", "state_code", "state_name", "country_code", "country_name", "alt_names")
-    rows = [tuple(r) for r in places.select(*columns).limit(MOST_ENTRIES + 1).collect()]
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    return Gazetteer(sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]))
+ALIASES = "kind string, country_code string, state_code string, alias string, meaning string"
 
 
-#: The reference list is broadcast, so its size is bounded.
-MOST_ENTRIES = 20_000
+def default_aliases(spark: SparkSession) -> DataFrame:
+    """(kind, country_code, state_code, alias, meaning): other names of countries and states, and short forms of words (kind "word")."""
+    rows = [("country", c, None, n, None) for c, names in COUNTRY_NAMES.items() for n in names]
+    rows += [("state", c, s, n, None) for (c, s), names in STATE_NAMES.items() for n in names]
+    rows += [("word", None, None, w, m) for w, meanings in SHORT_WORDS.items() for m in meanings]
+    return spark.createDataFrame(rows, ALIASES)
 
 
-def _deletions(word: str) -> list[str]:
-    return [word, *dict.fromkeys(word[:i] + word[i + 1 :] for i in range(len(word)))]
+def names(places: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(place_id, kind, state_code, country_code, tokens, weights, key) of every name of every entry; cut from its lineage.
 
+    ``weights`` are the inverse frequencies of the tokens among names of cities, ``key`` is the rarest token.
+    """
+    own = F.when(F.col("place_level") == "country", F.array("country_code", "country_name")).when(F.col("place_level") == "state", F.array("state_code", "state_name"))
+    own = own.otherwise(F.concat(F.array("city"), F.split(F.coalesce("alt_names", F.lit("")), r"\|")))
+    listed = places.filter("place_id is not null and place_level in ('city', 'state', 'country')")
+    listed = listed.select(F.col("place_id").cast("long").alias("place_id"), F.col("place_level").alias("kind"), "state_code", "country_code", F.explode(own).alias("name"))
+    other = aliases.filter("kind <> 'word'").select(F.col("kind").alias("_kind"), F.col("country_code").alias("_country"), F.col("state_code").alias("_state"), F.col("alias").alias("_alias"))
+    which = listed.filter("kind <> 'city'").drop("name").distinct()
+    more = which.join(other, (F.col("kind") == F.col("_kind")) & (F.col("country_code") == F.col("_country")) & ((F.col("kind") == "country") | (F.col("state_code") == F.col("_state"))))
+    whole = listed.unionByName(more.select("place_id", "kind", "state_code", "country_code", F.col("_alias").alias("name"))).filter("name is not null")
+    about = ["place_id", "kind", "state_code", "country_code"]
 
-def repairs(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(token, words): the words of the vocabulary within one edit of each distinct token, with their closeness.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_TOKEN.findall(tidy(n)) for n in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.list_(pa.string()))], [*about, "tokens"])
+
+    split = whole.mapInArrow(run, "place_id long, kind string, state_code string, country_code string, tokens array<string>")
+    split = session.cut(split.filter(F.size("tokens") > 0).distinct())
+    cities = split.agg(F.count_if(F.col("kind") == "city").alias("n_cities"))  # one row
+    used = split.select(*about, "tokens", F.posexplode("tokens").alias("at", "word"))
+    distinct_words = split.select("kind", F.explode(F.array_distinct("tokens")).alias("word"))
+    counts = distinct_words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "city").alias("n_city")).crossJoin(F.broadcast(cities))
+    counts = counts.withColumn("weight", F.log(1 + F.greatest(F.col("n_cities"), F.lit(1)) / F.greatest(F.col("n_city"), F.lit(1))))
+    each = used.join(counts.select("word", "n", "weight"), "word").groupBy(*about, "tokens").agg(
+        F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("w"), F.min(F.struct("n", "word")).alias("k")
+    )
+    return session.cut(each.select(*about, "tokens", F.col("w.weight").alias("weights"), F.col("k.word").alias("key")))
+
+
+def vocabulary(named: DataFrame) -> DataFrame:
+    """(word, reading): words of the list, and names of several words written as one."""
+    long_ = (F.col("kind") == "city") | (F.array_max(F.transform("tokens", lambda t: F.length(t))) > 3)
+    used = named.filter(long_).select("kind", "tokens")
+    single = used.select("kind", F.explode("tokens").alias("word")).filter((F.length("word") >= ONE_EDIT_FROM) | (F.col("kind") == "city"))
+    single = single.select("word", F.array("word").alias("reading"))
+    in_one = used.filter(F.size("tokens") > 1).select(F.array_join("tokens", "").alias("word"), F.col("tokens").alias("reading"))
+    return single.union(in_one).groupBy("word").agg(F.min_by("reading", F.struct(F.size("reading"), F.array_join("reading", " "))).alias("reading"))
+
+
+def _forms(word: Column) -> Column:
+    """The word and, if it is long enough for an edit, what is left without one of its letters."""
+    size = F.length(word)
+    shorter = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size)))
+    return F.when(size >= ONE_EDIT_FROM, F.array_distinct(F.concat(F.array(word), shorter))).otherwise(F.array(word))
+
+
+def repairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, words): the words of the vocabulary within one edit of each distinct token, with reading and closeness.
 
     Two words within one edit, or one swap of neighbours, share a form with at most one letter less,
-    so the join is on such forms; those of the vocabulary are broadcast, as bounded as the list.
+    so the join is on such forms.
     """
-    spark = tokens.sparkSession
-    forms = [(f, w) for w in vocabulary for f in (_deletions(w) if len(w) >= ONE_EDIT_FROM else [w])]
-    table = F.broadcast(spark.createDataFrame(forms, "form string, word string"))
-    size = F.length("token")
-    shorter = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, size)))
-    own = F.when(size >= ONE_EDIT_FROM, F.array_distinct(F.concat(F.array("token"), shorter))).otherwise(F.array("token"))
-    met = tokens.select("token", F.explode(own).alias("form")).join(table, "form").select("token", "word").distinct()
+    table = words.select("word", "reading", F.explode(_forms(F.col("word"))).alias("form"))
+    met = tokens.select("token", F.explode(_forms(F.col("token"))).alias("form")).join(table, "form").select("token", "word", "reading").distinct()
     distance = F.levenshtein("token", "word")
     differing = F.filter(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring("token", i, F.lit(1)) != F.substring("word", i, F.lit(1)))
     swap = (
@@ -334,64 +354,74 @@ def repairs(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
     edits = F.when(F.col("token") == F.col("word"), 0).when((F.length("token") >= ONE_EDIT_FROM) & (F.length("word") >= ONE_EDIT_FROM) & ((distance <= 1) | swap), 1)
     near = met.withColumn("edits", edits).filter("edits is not null")
     closeness = 1 - F.col("edits") / F.greatest(F.length("token"), F.length("word"))
-    return near.groupBy("token").agg(F.collect_list(F.struct("word", closeness.alias("closeness"))).alias("words"))
+    return near.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("word", "reading", closeness.alias("closeness")))).alias("words"))
 
 
 def _text_tokens(texts: DataFrame, fields: tuple[str, str, str]) -> DataFrame:
-    schema = texts.select(*fields).schema.add("token", "string")
-
+    """(text_no, token): the tokens of each text, an empty one for a text that has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
                 tokens = {t for v in values for part in segments(v) for t in part if not t.isdigit()} or {""}
                 rows.extend([i] * len(tokens))
                 found.extend(sorted(tokens))
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], [*fields, "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["text_no", "token"])
+
+    return texts.select("text_no", *fields).mapInArrow(run, "text_no string, token string")
 
-    return texts.select(*fields).mapInArrow(run, schema)
 
+def values(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country"), aliases: DataFrame | None = None) -> DataFrame:
+    """(fields, n_rows, place_id) of each distinct combination with something other than blanks in it; cut from its lineage.
 
-def values(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country")) -> DataFrame:
-    """(fields, n_rows, place_id) of each distinct combination with something other than blanks in it; cut from its lineage."""
-    listing = _gazetteer(places)
+    A text gets the names whose rarest word is among its tokens or their repairs. Every name that it
+    can mean is among them, since all words of a name must be in the text.
+    """
+    aliases = default_aliases(df.sparkSession) if aliases is None else aliases
+    listing = names(places, aliases)
+    top = math.log(1 + max(1, listing.filter("kind = 'city'").count()))
     filled = F.coalesce(*[text_functions.clean(F.col(f)) for f in fields]).isNotNull()
     texts = df.filter(filled).groupBy(*fields).agg(F.count("*").alias("n_rows"))
-    with_tokens = _text_tokens(texts, fields)
-    fixed = repairs(with_tokens.select("token").distinct(), sorted(listing.all_words))
-    found = with_tokens.join(fixed, "token", "left")
-    one = found.groupBy(*fields).agg(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("token", "words"))).alias("repairs"))
-    schema = df.select(*fields).schema.add("place_id", "long")
-    shared = df.sparkSession.sparkContext.broadcast(listing.rows)
+    texts = session.cut(texts.withColumn("text_no", F.md5(F.to_json(F.struct(*fields)))))
+    tokens = _text_tokens(texts, fields)
+    fixed = repairs(tokens.select("token").distinct(), vocabulary(listing))
+    short = aliases.filter("kind = 'word'").groupBy(F.col("alias").alias("token")).agg(F.array_sort(F.collect_set(F.struct(F.array("meaning").alias("reading"), F.lit(1.0).alias("closeness")))).alias("short"))
+    found = tokens.join(fixed, "token", "left").join(short, "token", "left")
+    near = F.transform(F.coalesce("words", F.array()), lambda w: F.struct(w["reading"].alias("reading"), w["closeness"].alias("closeness")))
+    found = found.select("text_no", "token", F.concat(F.coalesce("short", F.array()), near).alias("readings"))
+    fix = F.when(F.size("readings") > 0, F.struct("token", "readings"))
+    met = found.select("text_no", F.explode(F.array_union(F.array("token"), F.flatten(F.col("readings.reading")))).alias("key")).distinct()
+    meant = met.join(listing, "key").groupBy("text_no").agg(F.collect_list(F.struct("place_id", "kind", "state_code", "country_code", "tokens", "weights", "key")).alias("names"))
+    known = found.groupBy("text_no").agg(F.collect_list(fix).alias("repairs"))
+    one = texts.join(known, "text_no").join(meant, "text_no", "left").select(*fields, "n_rows", "repairs", "names")
+    schema = df.select(*fields).schema.add("n_rows", "long").add("place_id", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Gazetteer(shared.value)
         for batch in batches:
-            city, state, country, known = (c.to_pylist() for c in batch.columns)
+            city, state, country, _, known, meant = (c.to_pylist() for c in batch.columns)
+            rows = {(n["place_id"], n["kind"], tuple(n["tokens"])): n for some in meant for n in some or ()}
+            reader = Gazetteer((tuple(n.values()) for n in rows.values()), top)
             chosen = [
-                reader.resolve(c, s, k, {r["token"]: [(w["word"], w["closeness"]) for w in r["words"]] for r in fix})
+                reader.resolve(c, s, k, {r["token"]: [(tuple(w["reading"]), w["closeness"]) for w in r["readings"]] for r in fix})
                 for c, s, k, fix in zip(city, state, country, known)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chosen, pa.int64())], [*fields, "place_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(chosen, pa.int64())], [*fields, "n_rows", "place_id"])
 
-    resolved = one.mapInArrow(run, schema)
-    same = [F.col(f"t.{f}").eqNullSafe(F.col(f"r.{f}")) for f in fields]
-    out = texts.alias("t").join(resolved.alias("r"), same, "inner").select(*[F.col(f"t.{f}") for f in fields], "n_rows", "place_id")
-    return session.cut(out)
+    return session.cut(one.mapInArrow(run, schema))
 
 
-def resolve(df: DataFrame, places: DataFrame, key: str = "record_id", fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country")) -> DataFrame:
+def resolve(df: DataFrame, places: DataFrame, key: str = "record_id", fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country"), aliases: DataFrame | None = None) -> DataFrame:
     """(key, place_id): one row per row of ``df`` with something other than blanks in any field.
 
     ``place_id`` is the most specific entry that the values together name, wherever their parts sit,
     and 0 for a text that names no entry or several that the other values can't tell apart. Rows
-    with null or equal keys stay apart; an empty list of places gives 0 for every row.
+    with null or equal keys stay apart; an empty list of places gives 0 for every row. ``aliases``
+    replaces the table of other names and short forms (``default_aliases``).
     """
-    known = values(df, places, fields)
+    known = values(df, places, fields, aliases)
     return skew.join_to_one(df.select(key, *fields), known, fields, "n_rows").select(key, "place_id")
 
 
-def unmatched(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country")) -> DataFrame:
+def unmatched(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country"), aliases: DataFrame | None = None) -> DataFrame:
     """(fields, n_rows): the distinct combinations that found no entry, with the number of their rows."""
-    return values(df, places, fields).filter("place_id = 0").drop("place_id")
+    return values(df, places, fields, aliases).filter("place_id = 0").drop("place_id")

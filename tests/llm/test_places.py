@@ -24,7 +24,10 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def listing(spark):
-    return spark.createDataFrame(LIST, "place_id long, place_level string, city string, state_code string, state_name string, country_code string, country_name string, alt_names string")
+    return spark.createDataFrame(LIST, listing_schema)
+
+
+listing_schema = "place_id long, place_level string, city string, state_code string, state_name string, country_code string, country_name string, alt_names string"
 
 
 def frame(spark, rows):
@@ -49,13 +52,33 @@ def test_empty_tables_and_unmatched(spark, listing):
 def test_repairs_are_single_edits(spark):
     words = ["fallowmere", "falls", "in"]
     tokens = spark.createDataFrame([(t,) for t in ("fallowmere", "falowmere", "fallowmerre", "fallovmere", "fallwomere", "falowmree", "in", "im", "fals", "")], "token string")
-    got = {r["token"]: {w["word"] for w in r["words"]} for r in places.repairs(tokens, words).collect()}
+    got = {r["token"]: {w["word"] for w in r["words"]} for r in places.repairs(tokens, spark.createDataFrame([(w, [w]) for w in words], "word string, reading array<string>")).collect()}
     assert got == {**{t: {"fallowmere"} for t in ("fallowmere", "falowmere", "fallowmerre", "fallovmere", "fallwomere")}, "in": {"in"}, "fals": {"falls"}}
 
 
 def test_long_names_with_many_repairs_per_word_are_read():
     right, wrong = [f"right{k}" for k in "abcdefg"], [f"wrong{k}" for k in "abcdefg"]
-    rows = [(1, "state", None, "RR", " ".join(right), "US", None, None), (2, "state", None, "WW", " ".join(reversed(wrong)), "US", None, None)]
+    rows = [(1, "state", "RR", "US", right, [1.0] * 7, right[0]), (2, "state", "WW", "US", wrong[::-1], [1.0] * 7, wrong[0])]
     typed = tuple(f"typed{k}" for k in "abcdefg")
-    repairs = {t: [(w, 0.9), (r, 0.8)] for t, w, r in zip(typed, wrong, right)}
-    assert places.Gazetteer(rows)._named(typed, repairs) == [("state", ("US", "RR"))]
+    repairs = {t: [((w,), 0.9), ((r,), 0.8)] for t, w, r in zip(typed, wrong, right)}
+    assert places.Gazetteer(rows, 1.0)._named(typed, repairs) == [("state", ("US", "RR"))]
+
+
+def test_words_without_partner_refuse_and_weights_rank():
+    rows = [(1, "city", "A", "US", ["port", "quill"], [0.5, 2.0], "quill"), (2, "city", "B", "US", ["quill"], [2.0], "quill")]
+    reader = places.Gazetteer(rows, 2.0)
+    scores = reader._scored([{"port": 1.0}, {"quill": 0.8}])
+    assert set(scores) == {1} and abs(scores[1] - (0.25 + 0.8 * 4) / 4.25) < 1e-9
+    assert reader._scored([{"quill": 1.0}, {}]) == {} and reader._scored([{"port": 1.0}]) == {} and set(reader._scored([{"quill": 0.8}])) == {2}
+
+
+def test_a_list_of_many_entries_and_own_aliases(spark):
+    made = lambda i: "".join("bdfgklmn"[i >> k & 7] + "aeio"[i >> k & 3] for k in range(0, 15, 3))
+    cities = spark.range(30_000).collect()
+    listing = spark.createDataFrame(
+        [(r[0] + 1000, "city", f"{made(r[0])} {made(r[0] * 7 + 3)}", "ZZ", "Zedland", "QQ", "Quarria", None) for r in cities] + [(1, "state", None, "ZZ", "Zedland", "QQ", "Quarria", None), (2, "country", None, None, None, "QQ", "Quarria", None)],
+        listing_schema,
+    )
+    aliases = spark.createDataFrame([("country", "QQ", None, "old quarry", None), ("word", None, None, made(9)[:3], made(9))], places.ALIASES)
+    df = frame(spark, [(1, f"{made(5)} {made(38)}", None, None), (2, made(5), None, None), (3, None, None, "Old Quarry"), (4, f"{made(9)[:3]} {made(66)}", "zedland", None)])
+    assert {r[0]: r[1] for r in places.resolve(df, listing, aliases=aliases).collect()} == {1: 1005, 2: 0, 3: 2, 4: 1009}
