@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace import session
 from millrace.functions import text as text_functions
-from millrace.operators import components
+from millrace.operators import components, skew
 
 #: Words that stand for "nothing known" (fixed values), compared in lower case.
 GAP_WORDS = (
@@ -55,17 +55,23 @@ def groups(df: DataFrame, node: str, keys: Sequence[Column]) -> DataFrame:
     return components.connected_components(links).select(F.col("node").alias(node), F.col("component").alias("group_id"))
 
 
+def _stated(rows: DataFrame, fields: Sequence[str], *columns: str) -> DataFrame:
+    """(columns, field, value) of every real value."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), real(F.col(f)).alias("value")) for f in fields])).alias("c")
+    return rows.select(*columns, each).select(*columns, "c.field", "c.value").filter("value is not null")
+
+
 def facts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(group_id, field, value, said, denied): which sources state a value and which state only others for the field.
+    """(group_id, field, value, said, denied, n_rows): which sources state a value and which state only others for the field; cut from its lineage.
 
-    Rows are combined by source before they meet, so sets hold no more entries than there are sources.
+    Rows are combined by source before they meet, so sets hold no more entries than there are
+    sources. The sayers of all values of a field are gathered from the facts, not from the rows again.
     """
-    stated = rows.select("group_id", "source_name", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), real(F.col(f)).alias("value")) for f in fields])).alias("c"))
-    stated = stated.select("group_id", "source_name", "c.field", "c.value").filter("value is not null")
-    said = stated.groupBy("group_id", "field", "value").agg(F.collect_set("source_name").alias("said"))
-    anyone = stated.groupBy("group_id", "field").agg(F.collect_set("source_name").alias("speakers"))
+    said = _stated(rows, fields, "group_id", "source_name").groupBy("group_id", "field", "value").agg(F.collect_set("source_name").alias("said"), F.count("*").alias("n_rows"))
+    said = session.cut(said)
+    anyone = said.select("group_id", "field", F.explode("said").alias("s")).groupBy("group_id", "field").agg(F.collect_set("s").alias("speakers"))
     out = said.join(anyone, ["group_id", "field"])
-    return out.select("group_id", "field", "value", F.array_sort("said").alias("said"), F.array_sort(F.array_except("speakers", "said")).alias("denied"))
+    return session.cut(out.select("group_id", "field", "value", F.array_sort("said").alias("said"), F.array_sort(F.array_except("speakers", "said")).alias("denied"), "n_rows"))
 
 
 def _log_odds(params: dict[str, tuple[float, float]], priors: Priors) -> Column:
@@ -128,36 +134,42 @@ def grouped_rows(df: DataFrame, sources: DataFrame, node: str = "source_row_id",
     return session.cut(rows)
 
 
-def undominated(rows: DataFrame) -> DataFrame:
-    """Rows that no other row of their group beats: at least equal in fullness, update and trust, and ahead in one.
+def dominance(rows: DataFrame) -> DataFrame:
+    """Adds ``beaten``: whether another row of the group is at least equal in fullness, update and trust, and ahead in one.
 
     Only the latest update of each fullness and trust can beat a row, so a group brings a small
-    array that is bounded by the number of fullness levels times trust levels.
+    array that is bounded by the number of fullness levels times trust levels. Groups of very many
+    rows get theirs by broadcast.
     """
     when = F.coalesce(F.col("last_updated_at"), F.lit("0001-01-01").cast("timestamp"))
     rows = rows.withColumn("_at", when)
-    cells = rows.groupBy("group_id", "fullness", "trust").agg(F.max("_at").alias("at"))
-    cells = cells.groupBy("group_id").agg(F.collect_list(F.struct("fullness", "trust", "at")).alias("cells"))
+    cells = rows.groupBy("group_id", "fullness", "trust").agg(F.max("_at").alias("at"), F.count("*").alias("n"))
+    cells = session.cut(cells.groupBy("group_id").agg(F.collect_list(F.struct("fullness", "trust", "at")).alias("cells"), F.sum("n").alias("_rows")))
     f, t, at = F.col("fullness"), F.col("trust"), F.col("_at")
     beaten = F.exists("cells", lambda c: (c["fullness"] >= f) & (c["trust"] <= t) & (c["at"] >= at) & ((c["fullness"] > f) | (c["trust"] < t) | (c["at"] > at)))
-    return rows.join(cells, "group_id").filter(~beaten).drop("cells", "_at")
+    return skew.join_to_one(rows, cells, ["group_id"], "_rows").withColumn("beaten", beaten).drop("cells", "_at")
+
+
+def scored(rows: DataFrame, known: DataFrame, params: dict[str, tuple[float, float]], fields: Sequence[str], node: str, priors: Priors = Priors()) -> DataFrame:
+    """(group_id, <node>, expected_true): how many values of each row the model expects to be true; rows without a real value are left out."""
+    judged = known.select("group_id", "field", "value", probability(params, priors).alias("p"), "n_rows")
+    met = skew.join_to_one(_stated(rows, fields, "group_id", node), judged, ["group_id", "field", "value"], "n_rows")
+    return met.groupBy("group_id", node).agg(F.round(F.sum("p"), 6).alias("expected_true"))
 
 
 def representatives(df: DataFrame, sources: DataFrame, node: str = "source_row_id", fields: Sequence[str] = FULLNESS_FIELDS, priors: Priors = Priors()) -> DataFrame:
-    """(group_id, best_<node>, expected_true): of the rows that no other beats, the one with most values expected to be true.
+    """(group_id, best_<node>, expected_true): the row of the group with most values expected to be true, among those that no other beats.
 
-    Ties go to the smallest id. Nulls and gap words are no values; a null update counts as oldest
-    and an unknown source as least trusted. An empty table gives an empty result.
+    The model scores every row of every group; a row that another beats in fullness, update and trust
+    gives way whatever its score. Ties go to the smallest id. Nulls and gap words are no values; a null
+    update counts as oldest and an unknown source as least trusted. An empty table gives an empty result.
     """
     rows = grouped_rows(df, sources, node, fields)
     known = facts(rows, fields)
-    params = infer(known, priors)
-    judged = known.select("group_id", "field", "value", probability(params, priors).alias("p"))
-    front = undominated(rows)
-    values = front.select(node, "group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), real(F.col(f)).alias("value")) for f in fields])).alias("c"))
-    score = values.select(node, "group_id", "c.field", "c.value").join(judged, ["group_id", "field", "value"]).groupBy("group_id", node).agg(F.sum("p").alias("expected_true"))
-    scored = front.select("group_id", node).distinct().join(score, ["group_id", node], "left").withColumn("expected_true", F.round(F.coalesce("expected_true", F.lit(0.0)), 6))
-    best = scored.groupBy("group_id").agg(F.min(F.struct((-F.col("expected_true")).alias("loss"), F.col(node).alias("id"))).alias("b"))
+    score = scored(rows, known, infer(known, priors), fields, node, priors)
+    ranked = dominance(rows).groupBy("group_id", node).agg(F.min("beaten").alias("beaten")).join(score, ["group_id", node], "left")
+    first = F.struct("beaten", (-F.coalesce("expected_true", F.lit(0.0))).alias("loss"), F.col(node).alias("id"))
+    best = ranked.groupBy("group_id").agg(F.min(first).alias("b"))
     return best.select("group_id", F.col("b.id").alias(f"best_{node}"), (-F.col("b.loss")).alias("expected_true"))
 
 

@@ -41,6 +41,15 @@ def test_truth_decides_between_rows_none_of_which_beats_the_other(spark):
     assert best(spark, rows)[10] == 11
 
 
+def test_the_score_decides_within_dominance_only(spark):
+    # Nobody beats 1, 2 or 3; 4 has the most likely values but 2 beats it. Other groups teach the model that "poor" errs.
+    rows = [row(1, "poor", "a", None, 9, city="Wrongton", department="Slaes"), row(2, "good", "a", None, 5), row(3, "fair", "a", None, 6, city="Elseton"), row(4, "good", "a", None, 4)]
+    rows += [row(100 + 3 * g + k, s, f"g{g}", None, 1 + k, city=f"Hull{g}" if s == "poor" else f"Mull{g}" if s == "fair" and g % 3 == 0 else "Yell") for g in range(12) for k, s in enumerate(("good", "fair", "poor"))]
+    assert best(spark, rows)[1] == 2
+    got = {r["source_row_id"]: (r["beaten"],) for r in truth.dominance(truth.grouped_rows(*frames(spark, rows))).filter("group_id = 1").collect()}
+    assert got == {1: (False,), 2: (False,), 3: (False,), 4: (True,)}
+
+
 def test_edges(spark):
     same = [row(1, "good", "a", None)] * 3
     assert best(spark, same) == {}  # one row delivered three times
