@@ -68,7 +68,7 @@ _EPOCH_FRACTION = r"^(\d{9,10})\.(\d+)$"
 
 def tidy(text: Column) -> Column:
     """Blanks of every kind as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, _BLANKS, " "))
+    return F.trim(F.when(text.rlike("[^ -~]|  "), F.regexp_replace(text, _BLANKS, " ")).otherwise(text))
 
 
 def _literal_map(values: dict) -> Column:
@@ -82,8 +82,20 @@ def _whole(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """The nine fields joined by "|", null for a text of no known notation."""
-    return F.coalesce(*[F.when(text.rlike(pattern), F.regexp_replace(text, pattern, to)) for _, pattern, to in NOTATIONS])
+    """The nine fields joined by "|", null for a text of no known notation.
+
+    The first signs tell which notation a text can have, so that one pattern is applied to most
+    texts; a text that it doesn't fit comes back as it was, without a bar, and is of no notation.
+    """
+    made = {name: F.regexp_replace(text, pattern, to) for name, pattern, to in NOTATIONS}
+    only = lambda c: F.when(c.contains("|"), c)
+    first, fifth, ninth = (F.substring(text, i, 1) for i in (1, 5, 9))
+    digit = first.between("0", "9")
+    candidate = (
+        F.when(digit & fifth.isin("-", "/", ".") & text.rlike(r"^\d{4}"), made["iso"]).when(digit & ninth.isin("T", "t", " ") & text.rlike(r"^\d{8}"), made["basic"])
+        .when(digit & text.rlike(r"^\d{1,2}[-/.]\d"), made["numeric"]).when(digit, made["day_first"])
+    )
+    return F.when(text.contains("|"), None).when(digit, only(candidate)).otherwise(F.coalesce(only(made["month_first"]), only(made["day_first"])))
 
 
 def _month_names() -> dict[str, int]:
@@ -154,7 +166,7 @@ def normalize(
     ).select("_key", "_source", "v.field_name", "v.raw")
     out = one.join(about, "_source", "left").withColumn("_t", tidy(F.col("raw")))
     # Steps are columns of their own, so that no pattern is matched twice for a value.
-    out = out.withColumn("_digits", F.regexp_extract("_t", _EPOCH, 1))
+    out = out.withColumn("_digits", F.when(F.col("_t").contains(":"), "").otherwise(F.regexp_extract("_t", _EPOCH, 1)))
     out = out.withColumn("_f", F.split(F.when(F.col("_digits") == "", canonical(F.col("_t"))), r"\|"))
     # A numeric date fills the first field with "?a?b?c"; its order is that of the source.
     first = F.col("_f")[0]
@@ -190,7 +202,7 @@ def normalize(
         offset_seconds(F.col("_bare"), F.col("_offset_parts")).alias("_offset"), F.coalesce(F.regexp_extract(stated, r"^\[?([^\[\]]+)\]?$", 1), F.coalesce("_home", F.lit("UTC"))).alias("_name"),
     )
     fixed = F.coalesce("_epoch", F.col("_local") - F.col("_offset").cast("long") * MICROS)
-    table = zones.grouped(spark, zones.known_zones()).select(F.lower("zone").alias("_zone_name"), F.col("local_year").alias("_zone_year"), "periods")
+    table = zones.table(spark).select(F.lower("zone").alias("_zone_name"), F.col("local_year").alias("_zone_year"), "periods")
     wanted = F.when(fixed.isNull() & F.col("_local").isNotNull(), F.lower("_name"))
     out = out.withColumn("_fixed", fixed).withColumn("_wanted", wanted)
     out = out.join(F.broadcast(table), (F.col("_wanted") == F.col("_zone_name")) & (F.col("_year") == F.col("_zone_year")), "left")

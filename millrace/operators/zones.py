@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import session
+
 #: Years whose wall-clock times can be resolved; others are treated as impossible.
 YEARS = (1970, 2100)
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -84,3 +86,15 @@ def grouped(spark: SparkSession, zones: frozenset[str], years: tuple[int, int] =
     """The same with the periods of one zone and year in an array, so that a join keeps one row per value."""
     period = F.struct("local_from", "local_to", "offset_s")
     return intervals(spark, zones, years).groupBy("zone", "local_year").agg(F.collect_list(period).alias("periods"))
+
+
+_kept: dict[str, DataFrame] = {}
+
+
+def table(spark: SparkSession) -> DataFrame:
+    """The grouped intervals of all known zones, written once per application to the shared checkpoint folder."""
+    key = spark.sparkContext.applicationId
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = session.cut(grouped(spark, known_zones()))
+    return _kept[key]
