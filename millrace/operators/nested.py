@@ -2,7 +2,8 @@
 
 A depth-first traversal numbers every node of a record on the way in (``pre``) and on the way out
 (``post``). Node a lies above node b exactly if ``a.pre < b.pre`` and ``a.post > b.post``, so the
-flat node tables need no pointers: parents are found by containment of intervals.
+flat tables need no other pointers. A record is whole in one task, where one pass over its labels
+finds every parent by containment; across tables ``contained`` does so by a join on the record.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace import session
+
 
 @dataclass(frozen=True)
 class Entity:
-    """An array of objects: where it hangs below its parent and which key names its objects."""
+    """An array: where it hangs below its parent and which key names its objects; without one its elements are plain values, named by their position."""
 
     name: str
-    id_key: str
+    id_key: str | None
     path: tuple[str, ...]
     children: tuple["Entity", ...] = field(default=())
 
@@ -41,8 +44,13 @@ LISTING_ENTITIES = (
     )),
 )
 
+#: All arrays of a listing payload: those of objects, the history of the record and the lists of plain texts.
+ALL_LISTING_ENTITIES = (
+    *LISTING_ENTITIES, Entity("revision", "rev", ("metadata", "history")), Entity("benefit", None, ("compensation", "benefits")), Entity("requirement", None, ("requirements",)),
+)
+
 MAX_DECODINGS = 3
-NODE_SCHEMA = "doc_no long, entity string, depth int, own_id string, pre long, post long, attributes string"
+NODE_SCHEMA = "doc_no long, entity string, depth int, own_id string, pre long, post long, attributes string, id_path string, parent_pre long"
 
 
 def decode(value: object, times: int = MAX_DECODINGS) -> object:
@@ -65,18 +73,26 @@ def _reach(node: object, path: tuple[str, ...]) -> object:
     return node
 
 
-def members(value: object, id_key: str) -> Iterator[dict]:
-    """Objects of an array however it is written: a list, one bare object, an object keyed by position, or text of these."""
-    value = decode(value)
-    if isinstance(value, list):
-        items = value
-    elif isinstance(value, dict):
-        items = [value] if id_key in value else [x for k, x in value.items() if k.isdigit()]
+def members(value: object, id_key: str | None) -> Iterator[object]:
+    """Elements of an array however it is written: a list, one bare element, an object keyed by position, or text of these; nulls are none.
+
+    With ``id_key`` only objects count, without it only plain values.
+    """
+    plain = id_key is None
+    made = decode(value)
+    if isinstance(made, list):
+        items = made
+    elif isinstance(made, dict):
+        items = [made] if not plain and id_key in made else [x for k, x in made.items() if k.isdigit()]
+    elif plain and value is not None:
+        items = [value]
     else:
         return
     for item in items:
-        item = decode(item)
-        if isinstance(item, dict):
+        if plain:
+            if item is not None and not isinstance(item, (dict, list)):
+                yield item
+        elif isinstance(item := decode(item), dict):
             yield item
 
 
@@ -88,11 +104,23 @@ def _text(value: object) -> str | None:
     return value.encode("utf-8", "replace").decode("utf-8")  # a lone surrogate cannot be stored
 
 
-def label(root: dict, entities: tuple[Entity, ...], attributes: bool = True) -> list[tuple]:
-    """(entity, depth, own id, pre, post, other members as JSON) of each node, by a depth-first walk."""
+def _without(node: dict, paths: list[tuple[str, ...]]) -> dict:
+    """The members of an object but those that are tables of their own."""
+    out = {}
+    for k, v in node.items():
+        below = [p[1:] for p in paths if p[0] == k]
+        if () in below:
+            continue
+        out[k] = _without(v, below) if below and isinstance(v, dict) else v
+    return out
+
+
+def label(root: dict, entities: tuple[Entity, ...], root_name: str | None = None) -> list[tuple]:
+    """(entity, depth, own id, pre, post, other members as JSON) of each node, by a depth-first walk; the root is a node if it has a name."""
     out: list[list] = []
     clock = 0
-    todo: list[tuple] = [("array", root, e, 1) for e in reversed(entities)]
+    top = Entity(root_name or "", None, (), entities)
+    todo: list[tuple] = [("open", root, top, 0, None)] if root_name else [("array", root, e, 1) for e in reversed(entities)]
     while todo:
         step = todo.pop()
         if step[0] == "close":
@@ -100,33 +128,50 @@ def label(root: dict, entities: tuple[Entity, ...], attributes: bool = True) ->
             out[step[1]][4] = clock
         elif step[0] == "array":
             _, holder, entity, depth = step
-            found = list(members(_reach(holder, entity.path), entity.id_key))
-            todo.extend(("open", x, entity, depth) for x in reversed(found))
+            found = list(enumerate(members(_reach(holder, entity.path), entity.id_key)))
+            todo.extend(("open", x, entity, depth, i) for i, x in reversed(found))
         else:
-            _, node, entity, depth = step
+            _, node, entity, depth, position = step
             clock += 1
-            rest = None
-            if attributes:
-                apart = {entity.id_key, *(c.path[0] for c in entity.children)}
-                rest = json.dumps({k: v for k, v in node.items() if k not in apart})
+            if isinstance(node, dict):
+                own = _text(node.get(entity.id_key)) if entity.id_key else None
+                rest = _without(node, [(entity.id_key,), *(c.path for c in entity.children)] if entity.id_key else [c.path for c in entity.children])
+            else:
+                own, rest = str(position), {"value": node}
             todo.append(("close", len(out)))
-            out.append([entity.name, depth, _text(node.get(entity.id_key)), clock, 0, rest])
+            out.append([entity.name, depth, own, clock, 0, _text(json.dumps(rest))])
             todo.extend(("array", node, c, depth + 1) for c in reversed(entity.children))
     return [tuple(x) for x in out]
 
 
-def nodes(
-    df: DataFrame, key: str, payload: str, body: str | None, entities: tuple[Entity, ...] = LISTING_ENTITIES, attributes: bool = True
-) -> DataFrame:
+def linked(labels: list[tuple]) -> list[tuple]:
+    """Adds the path of ids from the outermost node below the root, and ``pre`` of the parent, to labels in pre-order.
+
+    The parent is the last node opened whose interval holds that of the node.
+    """
+    out: list[tuple] = []
+    above: list[tuple[int, int, tuple[str, ...]]] = []
+    for node in labels:
+        _, depth, own, pre, post, _ = node
+        while above and above[-1][1] < post:
+            above.pop()
+        path = (*above[-1][2], own or "") if above else (own or "",)
+        path = path if depth else ()
+        out.append((*node, "/".join(path), above[-1][0] if above else None))
+        above.append((pre, post, path))
+    return out
+
+
+def nodes(df: DataFrame, key: str, payload: str, body: str | None, entities: tuple[Entity, ...] = LISTING_ENTITIES, root_name: str | None = None) -> DataFrame:
     """The labelled nodes of all payloads with the key of their record and ``doc_no``, the number of its input row.
 
     ``body`` names the member of the payload that holds the arrays, None if the payload itself does.
-    A payload that is null, no JSON, no object or without a readable body has no nodes.
+    A payload that is null, no JSON, no object or without a readable body has no nodes. No shuffle.
     """
     numbered = df.select(F.col(key).alias("record_key"), F.col(payload).cast("string").alias("payload"), F.monotonically_increasing_id().alias("doc_no"))
     schema = f"record_key {numbered.schema['record_key'].dataType.simpleString()}, {NODE_SCHEMA}"
-    names = ("doc_no", "entity", "depth", "own_id", "pre", "post", "attributes")
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = ("doc_no", "entity", "depth", "own_id", "pre", "post", "attributes", "id_path", "parent_pre")
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +182,7 @@ def nodes(
                 if isinstance(root, dict) and body is not None:
                     root = decode(root.get(body))
                 if isinstance(root, dict):
-                    found = label(root, entities, attributes)
+                    found = linked(label(root, entities, root_name))
                     rows.extend((doc_no, *x) for x in found)
                     source.extend([i] * len(found))
             columns = list(zip(*rows)) or [()] * len(names)
@@ -147,34 +192,25 @@ def nodes(
     return numbered.mapInArrow(run, schema)
 
 
-def _levels(entities: tuple[Entity, ...]) -> int:
-    return max((1 + _levels(e.children) for e in entities), default=0)
+def contained(outer: DataFrame, inner: DataFrame, columns: tuple[str, ...] = ("own_id",)) -> DataFrame:
+    """``inner`` with ``columns`` of the rows of ``outer`` whose interval holds its own, as outer_<column>; a node with several such ancestors has a row for each."""
+    up = outer.select(F.col("doc_no").alias("_doc"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), *[F.col(c).alias(f"outer_{c}") for c in columns])
+    return inner.join(up, (F.col("doc_no") == F.col("_doc")) & (F.col("_pre") < F.col("pre")) & (F.col("_post") > F.col("post"))).drop("_doc", "_pre", "_post")
 
 
-def link(labelled: DataFrame, entities: tuple[Entity, ...]) -> DataFrame:
-    """Adds ``id_path``, the ids from the outermost object to the node, and ``parent_pre``.
-
-    In pre-order the only node of a level that can contain a node is the last one opened before it;
-    whether it does is told by its interval. One sort by record and ``pre`` serves all levels, so no
-    pairs of nodes are formed.
-    """
-    w = Window.partitionBy("doc_no").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    depth = _levels(entities)
-    out = labelled
-    for level in range(1, depth):
-        node = F.struct("pre", "post", "own_id")
-        out = out.withColumn(f"_l{level}", F.last(F.when(F.col("depth") == level, node), ignorenulls=True).over(w))
+def tables(
+    df: DataFrame, key: str = "raw_id", payload: str = "payload", body: str | None = "job_model_json",
+    entities: tuple[Entity, ...] = ALL_LISTING_ENTITIES, root_name: str = "posting",
+) -> dict[str, DataFrame]:
+    """One table per type of node, the root included, each with the columns of ``flatten``; written once and cut from their lineage."""
+    whole = session.cut(flatten(df, key, payload, body, entities, root_name))
 
-    def above(level: int) -> Column:
-        a = F.col(f"_l{level}")
-        return (F.col("depth") > level) & (a["pre"] < F.col("pre")) & (a["post"] > F.col("post"))
+    def names(some: tuple[Entity, ...]) -> Iterator[str]:
+        for e in some:
+            yield e.name
+            yield from names(e.children)
 
-    parts = [F.when(above(level), F.coalesce(F.col(f"_l{level}")["own_id"], F.lit(""))) for level in range(1, depth)]
-    out = out.withColumn("id_path", F.concat_ws("/", *parts, F.coalesce("own_id", F.lit(""))))
-    parent = F.lit(None).cast("long")
-    for level in range(1, depth):
-        parent = F.coalesce(F.when(above(level) & (F.col("depth") == level + 1), F.col(f"_l{level}")["pre"]), parent)
-    return out.withColumn("parent_pre", parent).drop(*[f"_l{level}" for level in range(1, depth)])
+    return {name: whole.filter(F.col("entity") == name) for name in (root_name, *names(entities))}
 
 
 def flatten(
@@ -183,14 +219,16 @@ def flatten(
     payload: str = "payload",
     body: str | None = "job_model_json",
     entities: tuple[Entity, ...] = LISTING_ENTITIES,
-    attributes: bool = True,
+    root_name: str | None = None,
 ) -> DataFrame:
-    """One row per object: key, entity, id_path, own_id, depth, pre, post, parent_pre, attributes (JSON).
+    """One row per node: key, doc_no, entity, id_path, own_id, depth, pre, post, parent_pre, attributes (JSON).
 
     The arrays may be lists, a bare object, objects keyed by position, or text encoding any of
-    these; null elements are skipped. Repeated rows and rows with the same or a null key stay apart
-    (``doc_no`` numbers input rows), an object without an id has an empty step in its path, and
-    columns of ``df`` other than the two named are not read. An empty table gives an empty result.
+    these; null elements are skipped. ``attributes`` holds all members that are no table of their
+    own. Repeated rows and rows with the same or a null key stay apart (``doc_no`` numbers input
+    rows), an object without an id has an empty step in its path, a plain value is named by its
+    position, and columns of ``df`` other than the two named are not read. An empty table gives an
+    empty result.
     """
-    linked = link(nodes(df, key, payload, body, entities, attributes), entities)
-    return linked.select(F.col("record_key").alias(key), "doc_no", "entity", "id_path", "own_id", "depth", "pre", "post", "parent_pre", "attributes")
+    found = nodes(df, key, payload, body, entities, root_name)
+    return found.select(F.col("record_key").alias(key), "doc_no", "entity", "id_path", "own_id", "depth", "pre", "post", "parent_pre", "attributes")
