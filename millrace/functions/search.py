@@ -1,7 +1,9 @@
-"""Full-text search: weighted documents, web-style queries, match and rank.
+"""Full-text search: weighted documents, web-style queries, match, rank and a table of terms.
 
-A document is one string of stems with a blank on either side of each, so that a word or phrase is
-found by a plain search of a substring, without arrays.
+A document is one string of lower-case words with a blank on either side of each, made in one pass
+when a listing is written. Words are not stemmed there: a sought word is widened to the inflections
+of its possible bases instead ("planning": plan, plans, planned, planning, ...), so the rules are
+applied to the few words of a query and never to all texts.
 """
 
 from __future__ import annotations
@@ -11,35 +13,74 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import regex
-from pyspark.sql import Column
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the four fields, title first (public PostgreSQL defaults for A to D).
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
+#: Signs of a description that are searched, as in the stored documents.
+LONGEST = 100_000
 # Words that no query looks for.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with", "you", "your", "we", "our")
-#: Endings removed one after another to match inflected forms, if three letters remain.
-ENDINGS = ((r"\b(\p{L}{3,})ies\b", "y"), (r"\b(\p{L}{3,})(?:ing|ed)\b", ""), (r"\b(\p{L}{3,})(?<!s)s\b", ""))
+#: Parts of the table of terms.
+BUCKETS = 64
 
 
 def document(text: Column) -> Column:
-    """The stems of a text, each between blanks; null counts as empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in ENDINGS:
-        out = F.regexp_replace(out, "(?U)" + pattern, "$1" + to)
-    return F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-
-
-def stems_of(text: str) -> tuple[str, ...]:
-    text = text.lower()
-    for pattern, to in ENDINGS:
-        text = regex.sub(pattern, r"\1" + to, text)
-    return tuple(regex.findall(r"[\p{L}\p{N}]+", text))
+    """The words of a text in lower case, each between blanks; null counts as empty."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
+def weighted_document(title: Column, department: Column, city: Column, description: Column) -> Column:
+    """struct<a, b, c, d>: the documents of the four fields, the most telling first."""
+    parts = zip("abcd", (title, department, city, F.substring(description, 1, LONGEST)))
+    return F.struct(*[document(c).alias(n) for n, c in parts])
+
+
+def whole(doc: Column) -> Column:
+    """The four fields of a weighted document as one."""
+    return F.concat(*[doc[n] for n in "abcd"])
+
+
+def bases(word: str) -> tuple[str, ...]:
+    """The words that ``word`` may be an inflection of, itself first; three letters remain at least."""
+    out = [word]
+    if len(word) > 4 and word.endswith("ies"):
+        out.append(word[:-3] + "y")
+    if len(word) > 3 and word.endswith("s") and not word.endswith("ss"):
+        out.append(word[:-1])
+        if word[:-1].endswith(("se", "xe", "ze", "che", "she")):
+            out.append(word[:-2])
+    for ending in ("ing", "ed"):
+        stem = word[: -len(ending)]
+        if word.endswith(ending) and len(stem) >= 3 and re.search("[aeiouy]", stem):
+            out += [stem, stem + "e"]
+            if stem[-1] == stem[-2]:
+                out.append(stem[:-1])
+            if ending == "ed" and stem.endswith("i"):
+                out.append(stem[:-1] + "y")
+    return tuple(dict.fromkeys(out))
+
+
+def inflections(word: str) -> tuple[str, ...]:
+    """All words that share a base with ``word``; words with other signs than plain letters, or fewer than three, only themselves."""
+    if not re.fullmatch("[a-z]{3,}", word):
+        return (word,)
+    out = []
+    for b in bases(word):
+        short = b[:-1] if b.endswith("e") else b
+        twice = b + b[-1] if re.search("[^aeiou][aeiou][^aeiouwxy]$", b) else short
+        sibilant = b.endswith(("s", "x", "z", "ch", "sh"))
+        out += [b, b + "es" if sibilant else b + "s", short + "ed", short + "ing", twice + "ed", twice + "ing"]
+        if re.search("[^aeiou]y$", b):
+            out += [b[:-1] + "ies", b[:-1] + "ied"]
+    return tuple(dict.fromkeys(w for w in out if w == word or len(w) >= 3))
 
 
 @dataclass(frozen=True)
 class Query:
-    """Alternatives of required and refused phrases; a phrase is a tuple of stems."""
+    """Alternatives of required and refused phrases; a phrase is a tuple of words."""
 
     alternatives: tuple[tuple[tuple[bool, tuple[str, ...]], ...], ...] = field(default=())
 
@@ -51,36 +92,65 @@ def parse(query: str) -> Query:
         if word.lower() == "or" and not minus:
             out.append([])
             continue
-        stems = stems_of(phrase or word)
+        words = tuple(regex.findall(r"[\p{L}\p{N}]+", (phrase or word).lower()))
         if not phrase and word.lower() in STOP_WORDS:
-            stems = ()
-        if stems:
-            out[-1].append((minus == "", stems))
+            words = ()
+        if words:
+            out[-1].append((minus == "", words))
     return Query(tuple(tuple(a) for a in out if a))
 
 
-def _needle(phrase: tuple[str, ...]) -> str:
-    return " " + "  ".join(phrase) + " "
+def _pattern(phrase: tuple[str, ...]) -> str:
+    """Finds the phrase in a document, each word in any of its inflections."""
+    return " " + "  ".join("(?:" + "|".join(re.escape(w) for w in inflections(p)) + ")" for p in phrase) + " "
 
 
 def matches(doc: Column, query: Query) -> Column:
     """Whether the document fulfils the query; a query without words matches nothing."""
     def one(parts: tuple) -> Column:
-        return reduce(lambda a, b: a & b, (doc.contains(_needle(p)) if wanted else ~doc.contains(_needle(p)) for wanted, p in parts))
+        return reduce(lambda a, b: a & b, (doc.rlike(_pattern(p)) if wanted else ~doc.rlike(_pattern(p)) for wanted, p in parts))
 
     return reduce(lambda a, b: a | b, (one(a) for a in query.alternatives), F.lit(False))
 
 
-def _hits(doc: Column, word: str) -> Column:
-    needle = _needle((word,))
-    return (F.length(doc) - F.length(F.replace(doc, F.lit(needle), F.lit("")))) / len(needle)
-
-
 def rank(fields: list[Column], query: Query, weights: tuple[float, ...] = WEIGHTS) -> Column:
     """Sum over sought words and fields of the field's weight times its hits, damped by the field's length."""
-    sought = sorted({s for a in query.alternatives for wanted, p in a if wanted for s in p})
+    sought = sorted({w for a in query.alternatives for wanted, p in a if wanted for w in p})
     score = F.lit(0.0)
     for doc, weight in zip(fields, weights):
         for s in sought:
-            score = score + F.lit(weight) * _hits(doc, s) / (1 + F.log1p(F.length(doc)))
+            score = score + F.lit(weight) * F.regexp_count(doc, F.lit(_pattern((s,)))) / (1 + F.log1p(F.length(doc)))
     return score
+
+
+def terms(df: DataFrame, key: str, doc: Column, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, key): each word of each document once. Written by bucket, a query reads the buckets of its words only."""
+    words = F.array_distinct(F.filter(F.split(doc, " "), lambda w: w != ""))
+    one = df.select(F.col(key).alias("key"), F.explode(words).alias("term"))
+    return one.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "key")
+
+
+def _bucket(term: str, buckets: int) -> int:
+    value = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (value - (1 << 64) if value >> 63 else value) % buckets
+
+
+def candidates(index: DataFrame, query: Query, buckets: int = BUCKETS) -> DataFrame:
+    """(key): documents that hold all required words of an alternative; phrases and refusals are left to ``matches``.
+
+    An alternative that only refuses words can't be looked up, so it is a ValueError.
+    """
+    out = None
+    for parts in query.alternatives:
+        sought = sorted({w for wanted, p in parts if wanted for w in p})
+        if not sought:
+            raise ValueError("an alternative needs a required word")
+        group = {w: i for i, s in enumerate(sought) for w in inflections(s)}
+        chain = None
+        for i, s in enumerate(sought):
+            hit = F.col("term").isin(*inflections(s))
+            chain = F.when(hit, i) if chain is None else chain.when(hit, i)
+        rows = index.filter(F.col("bucket").isin(*sorted({_bucket(w, buckets) for w in group})) & F.col("term").isin(*group))
+        found = rows.groupBy("key").agg(F.countDistinct(chain).alias("n")).filter(F.col("n") == len(set(group.values()))).select("key")
+        out = found if out is None else out.union(found)
+    return index.sparkSession.createDataFrame([], index.select("key").schema) if out is None else out.distinct()

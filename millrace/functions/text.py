@@ -27,12 +27,12 @@ def filled(text: Column) -> Column:
 
 # Words that say which legal form a company has.
 LEGAL_WORDS = (
-    "inc", "incorporated", "llc", "l.l.c", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "plc", "sa", "nv",
+    "inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "plc", "sa", "nv",
     "bv", "ag", "pty", "llp", "lp", "holdings", "group", "international", "worldwide",
 )
 
-# Words of a title that tell a level, and numbers.
-LEVEL_WORDS = ("senior", r"sr\.?", "junior", r"jr\.?", "lead", "principal", "staff", "i{1,3}", "iv", "v", "[0-9]+")
+# Words of a title that tell a level.
+LEVEL_WORDS = ("senior", "sr", "junior", "jr", "lead", "principal", "staff", "i", "ii", "iii", "iv", "v")
 
 # Words that stay in lower case inside a name.
 CONNECTIVES = ("and", "or", "of", "the", "for", "in", "on", "to", "a", "an", "&")
@@ -43,17 +43,24 @@ def key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\W+"), lambda w: w != "")
+
+
 def company_key(name: Column, fallback: Column | None = None) -> Column:
     """The key of a company's name without legal forms; ``fallback`` where nothing is left."""
-    words = "|".join(x.replace(".", r"\.") for x in LEGAL_WORDS)
-    made = F.nullif(key(F.regexp_replace(F.lower(name), rf"\b({words})\b\.?", " ")), F.lit(""))
+    plain = F.regexp_replace(F.lower(name), r"(?U)\bl\.l\.c\b", "llc")
+    kept = F.filter(_words(plain), lambda w: ~w.isin(*LEGAL_WORDS))
+    made = F.nullif(key(F.array_join(kept, " ")), F.lit(""))
     return made if fallback is None else F.coalesce(made, fallback)
 
 
 def title_key(title: Column) -> Column:
-    """The key of a title without level, numbers, bracketed asides and all behind the first dash or bar; the plain key if nothing is left."""
-    noise = rf"(?i)\b({'|'.join(LEVEL_WORDS)})\b|\([^)]*\)|\[[^\]]*\]|[-\u2013\u2014|].*$"
-    return F.coalesce(F.nullif(key(F.regexp_replace(title, noise, " ")), F.lit("")), key(title))
+    """The key of a title without level words, numbers, bracketed asides and, line by line, all behind the first dash or bar; the plain key if nothing is left."""
+    open_ = F.regexp_replace(F.regexp_replace(F.lower(title), r"\([^)]*\)", " "), r"\[[^\]]*\]", " ")
+    heads = F.array_join(F.transform(F.split(open_, "\n"), lambda line: F.get(F.split(line, "[-\u2013\u2014|]"), F.lit(0))), " ")
+    kept = F.filter(_words(heads), lambda w: ~w.isin(*LEVEL_WORDS) & ~w.rlike("^[0-9]+$"))
+    return F.coalesce(F.nullif(key(F.array_join(kept, " ")), F.lit("")), key(title))
 
 
 def digest(text: Column, first: int = 4000) -> Column:
@@ -119,6 +126,12 @@ def currency_code(text: Column) -> Column:
     return F.when(code.rlike("^[A-Z]{3}$"), code)
 
 
+def amount(text: Column) -> Column:
+    """A bare number of a pay field as sent, null for anything else; ``operators.units`` reads notations."""
+    plain = F.replace(strip(text.cast("string")), F.lit(","), F.lit(""))
+    return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
+
+
 def amounts_in_order(low: Column, high: Column, most: int = 100_000_000) -> Column:
     """struct<low, high> of decimals within 0 and ``most``, swapped if the other way round; a lone bound keeps its place."""
     fine = lambda c: F.when((c >= 0) & (c <= most), c.cast("decimal(14,2)"))

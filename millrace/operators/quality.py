@@ -57,8 +57,14 @@ def repeats(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
     return df.withColumn("repeat", known & (F.row_number().over(w) > 1))
 
 
-def ledger(refused: DataFrame, reason: str, order: Sequence[str], examples: int = 100) -> DataFrame:
-    """Exact counts per reason with a bounded number of examples kept: reason, kept, overflow."""
+def breakdown(ledgers: DataFrame, by: Sequence[str] = ("reason",), top: int = 20) -> DataFrame:
+    """The most frequent reasons over the ledgers of all runs, or per run if ``by`` names it: ``by`` and n (a top-k report)."""
+    counts = ledgers.groupBy(*by).agg(F.sum(F.col("kept") + F.col("overflow")).alias("n"))
+    return counts.orderBy(F.desc("n"), *by).limit(top)
+
+
+def ledger(refused: DataFrame, reason: str, examples: int = 100) -> DataFrame:
+    """Exact counts per reason with a bounded number of examples kept (``samples`` gives these): reason, kept, overflow."""
     counts = refused.groupBy(reason).agg(F.count("*").alias("n"))
     return counts.select(reason, F.least("n", F.lit(examples)).alias("kept"), F.greatest(F.col("n") - examples, F.lit(0)).alias("overflow"))
 

@@ -222,7 +222,7 @@ def reject_breakdown(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT reason, least(count(*), 100) AS kept, greatest(count(*) - 100, 0) AS overflow FROM {_REASON_SQL} GROUP BY reason")
 def reject_ledger(spark: SparkSession, d: str) -> DataFrame:
     _, refused = quality.split(_reasons(spark, d))
-    return quality.ledger(refused, "reason", ["record_id"])
+    return quality.ledger(refused, "reason")
 
 
 @query(f"SELECT reason, record_id FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY record_id) AS k FROM {_REASON_SQL}) WHERE k <= 100")
@@ -408,14 +408,26 @@ def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "normalized_jobs").select("record_id", urls.canonical(F.col("apply_url")).alias("url"), urls.digest(F.col("apply_url")).alias("url_hash"))
 
 
-@query()
+_KEY_PARTS = """words AS (
+    SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(company_name), '\\bl\\.l\\.c\\b', 'llc', 'g'), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '' AND NOT list_contains([@LEGAL], x)) AS cw,
+        list_filter(regexp_split_to_array(regexp_extract(regexp_replace(regexp_replace(lower(title), '\\([^)]*\\)', ' ', 'g'), '\\[[^\\]]*\\]', ' ', 'g'), '^[^|–—-]*'), '[^\\p{L}\\p{N}_]+'),
+            lambda x: x <> '' AND NOT list_contains([@LEVEL], x) AND NOT regexp_full_match(x, '[0-9]+')) AS tw
+    FROM normalized_jobs),
+    keyed AS (
+    SELECT *, coalesce(nullif(trim(regexp_replace(array_to_string(cw, ' '), '[^a-z0-9]+', ' ', 'g')), ''), company_name) AS ck,
+        coalesce(nullif(trim(regexp_replace(array_to_string(tw, ' '), '[^a-z0-9]+', ' ', 'g')), ''), trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))) AS tk FROM words)""".replace(
+    "\\\\", "\\").replace("@LEGAL", ", ".join(f"'{w}'" for w in text.LEGAL_WORDS)).replace("@LEVEL", ", ".join(f"'{w}'" for w in text.LEVEL_WORDS))
+_GENERIC = ", ".join(f"'{w}'" for w in dedupe.GENERIC_TITLES)
+
+
+@query(f"""WITH {_KEY_PARTS} SELECT record_id, title_key, sha256(coalesce(source, '') || '|' || coalesce(external_id, '')) AS l1,
+    CASE WHEN company_name <> '' AND tk <> '' AND raw_city IS NOT NULL AND raw_state IS NOT NULL AND tk NOT IN ({_GENERIC}) AND lower(trim(title)) NOT IN ({_GENERIC})
+        THEN sha256(coalesce(ck, '') || '|' || tk || '|' || coalesce(raw_country, '') || '|' || raw_state || '|' || lower(raw_city)) END AS l3,
+    sha256(coalesce(ck, '') || '|' || coalesce(tk, '') || '|' || coalesce(raw_country, '') || '|' || coalesce(raw_state, '') || '|' || coalesce(lower(raw_city), '') || '|'
+        || left(sha256(left(trim(regexp_replace(lower(coalesce(description_text, '')), '\\s+', ' ', 'g')), 4000)), 32)) AS l4 FROM (SELECT *, tk AS title_key FROM keyed)""".replace("\\\\", "\\"))
 def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    place = (c("raw_country"), c("raw_state"), c("raw_city"))
-    return table(spark, d, "normalized_jobs").select(
-        "record_id", dedupe.identity(c("source"), c("external_id")).alias("l1"), dedupe.address(c("apply_url")).alias("l2"),
-        dedupe.title_and_place(c("company_name"), c("title"), *place).alias("l3"), dedupe.fingerprint(c("company_name"), c("title"), *place, c("description_text")).alias("l4"),
-    )
+    keyed = dedupe.with_keys(table(spark, d, "normalized_jobs"), "source", "external_id", "apply_url", "company_name", "title", ("raw_country", "raw_state", "raw_city"), "description_text")
+    return keyed.select("record_id", "title_key", "l1", "l3", "l4")
 
 
 @query("""SELECT raw_id, json_extract_string(m, '$.title') AS title, json_extract_string(m, '$.location.city') AS city FROM (
@@ -423,9 +435,9 @@ def dedupe_keys(spark: SparkSession, d: str) -> DataFrame:
     SELECT raw_id, CASE WHEN json_type(m0) = 'VARCHAR' THEN CASE WHEN json_valid(m0 ->> '$') THEN CAST(m0 ->> '$' AS JSON) END ELSE m0 END AS m1 FROM (
     SELECT raw_id, CASE WHEN json_valid(payload) THEN json_extract(payload, '$.job_model_json') END AS m0 FROM raw_records)))""")
 def json_decode(spark: SparkSession, d: str) -> DataFrame:
-    body = jsonx.member(jsonx.decoded(F.col("payload")), "$.job_model_json", "variant")
-    model = jsonx.decoded(F.coalesce(jsonx.member(body, "$", "string"), F.to_json(body)))
-    return table(spark, d, "raw_records").select("raw_id", jsonx.member(model, "$.title").alias("title"), jsonx.member(model, "$.location.city").alias("city"))
+    rows = jsonx.with_decoded(table(spark, d, "raw_records").select("raw_id", "payload"), "_top", F.col("payload"))
+    rows = jsonx.with_decoded(rows, "_model", jsonx.member(F.col("_top"), "$.job_model_json", "variant"), parsed=True)
+    return rows.select("raw_id", jsonx.member(F.col("_model"), "$.title").alias("title"), jsonx.member(F.col("_model"), "$.location.city").alias("city"))
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IN (0, 1) THEN TRY_CAST(json_extract_string(props, '$.k') AS INT) = 1 END AS flag FROM events""")
@@ -445,7 +457,7 @@ def freshness_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", freshness.assess(c("posted_at"), as_of())["valid"].alias("valid"), bucket.alias("bucket"))
 
 
-_RULES = (("manager", ("manager", "supervisor")), ("clinical", ("clinic", "laborator")), ("finance", ("payroll", "account", "insurance")))
+_RULES = tuple(classify.Rule(n, w) for n, w in (("manager", ("manager", "supervisor")), ("clinical", ("clinic", "laborator")), ("finance", ("payroll", "account", "insurance"))))
 
 
 @query(r"""SELECT record_id, coalesce(CASE WHEN regexp_matches(title, '(?i)\b(manager|supervisor)') THEN 'manager' WHEN regexp_matches(title, '(?i)\b(clinic|laborator)') THEN 'clinical' WHEN regexp_matches(title, '(?i)\b(payroll|account|insurance)') THEN 'finance' END,
@@ -454,36 +466,56 @@ def classify_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "normalized_jobs").select("record_id", classify.category(F.col("title"), F.col("department"), _RULES).alias("category"))
 
 
-@query()
+_STATED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.SOURCE_LEVELS.items())
+
+
+@query(f"""SELECT record_id, coalesce({classify.sql_chain("title", classify.CATEGORY_RULES)}, {classify.sql_chain("department", classify.CATEGORY_RULES)}, 'other') AS category,
+    coalesce(CASE lower(trim(seniority)) {_STATED} END, {classify.sql_chain("title", classify.LEVEL_RULES)}, 'UNKNOWN') AS level FROM normalized_jobs""")
 def classify_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "normalized_jobs")
     return rows.select("record_id", classify.category(F.col("title"), F.col("department")).alias("category"), classify.level(F.col("title"), F.col("seniority")).alias("level"))
 
 
 _SEARCH = 'payroll "menu planning" -drivers or "night cover" returns'
+#: The same query spelled out with the inflections that English has.
+_HIT_SQL = r"""((regexp_matches(w, '\bpayrolls?\b') AND regexp_matches(w, '\bmenus?[^\p{L}\p{N}]+plan(s|ned|ning|e|es|ed|ing)?\b') AND NOT regexp_matches(w, '\bdrivers?\b'))
+    OR (regexp_matches(w, '\bnights?[^\p{L}\p{N}]+cover(s|ed|ing)?\b') AND regexp_matches(w, '\breturn(s|ed|ing)?\b')))"""
 
 
-@query(r"""WITH t AS (SELECT record_id, '  ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(concat_ws(' ', title, description_text)),
-        '\b(\pL{3,})ies\b', '\1y', 'g'), '\b(\pL{3,})(?:ing|ed)\b', '\1', 'g'), '\b(\pL{2,}[^s\PL])s\b', '\1', 'g'), '[^\p{L}\p{N}]+', '  ', 'g') || '  ' AS w FROM normalized_jobs)
-    SELECT record_id FROM t WHERE (w LIKE '% payroll %' AND w LIKE '% menu  plann %' AND w NOT LIKE '% driver %') OR (w LIKE '% night  cover %' AND w LIKE '% return %')""")
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return table(spark, d, "normalized_jobs").select("record_id", search.weighted_document(c("title"), c("department"), c("raw_city"), c("description_text")).alias("doc"))
+
+
+@query(f"SELECT record_id FROM (SELECT record_id, lower(concat_ws(' ', title, department, raw_city, left(description_text, 100000))) AS w FROM normalized_jobs) WHERE {_HIT_SQL}")
 def fulltext_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "normalized_jobs").select("record_id", search.document(F.concat_ws(" ", "title", "description_text")).alias("w"))
-    return rows.filter(search.matches(F.col("w"), search.parse(_SEARCH))).select("record_id")
+    return _documents(spark, d).filter(search.matches(search.whole(F.col("doc")), search.parse(_SEARCH))).select("record_id")
 
 
-@query()
+_RANKED = "planned or payroll"
+
+
+def _score_sql() -> str:
+    fields = (("title", 1.0), ("department", 0.4), ("raw_city", 0.2), ("left(description_text, 100000)", 0.1))
+    words = r"\b(plan|plans|planned|planning|planed|planing)\b", r"\b(payroll|payrolls|payrolled|payrolling)\b"
+    doc = lambda f: f"(' ' || regexp_replace(lower(coalesce({f}, '')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ')".replace("\\\\", "\\")
+    return " + ".join(f"{w} * len(regexp_extract_all({doc(f)}, '{p}')) / (1 + ln(1 + length({doc(f)})))" for f, w in fields for p in words)
+
+
+@query(f"SELECT record_id, round(rank, 6) AS rank FROM (SELECT record_id, {_score_sql()} AS rank FROM normalized_jobs) WHERE rank > 0 ORDER BY round(rank, 6) DESC, record_id DESC LIMIT 50")
 def fulltext_rank(spark: SparkSession, d: str) -> DataFrame:
     """The fifty best by rank (a top-k report)."""
-    q = search.parse(_SEARCH)
-    rows = table(spark, d, "normalized_jobs").select("record_id", search.document(F.col("title")).alias("a"), search.document(F.col("description_text")).alias("d"))
-    hits = rows.filter(search.matches(F.concat("a", "d"), q))
-    score = F.round(search.rank([F.col("a"), F.col("d")], q, (search.WEIGHTS[0], search.WEIGHTS[3])), 6)
+    q = search.parse(_RANKED)
+    hits = _documents(spark, d).filter(search.matches(search.whole(F.col("doc")), q))
+    score = F.round(search.rank([F.col("doc")[n] for n in "abcd"], q), 6)
     return hits.select("record_id", score.alias("rank")).orderBy(F.desc("rank"), F.desc("record_id")).limit(50)
 
 
 @query()
 def location_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return location.resolve(table(spark, d, "normalized_jobs").select("record_id", *location.FIELDS)).select("record_id", "where.*")
+    rows = table(spark, d, "normalized_jobs").select("record_id", "company_external_id", *location.FIELDS)
+    rows = listing.with_registry(rows, table(spark, d, "companies").select("id", "country"), "company_external_id")
+    return location.resolve(rows, company_country="company_country", cities=location.city_facts(table(spark, d, "places"))).select("record_id", "where.*")
 
 
 @query("""SELECT record_id, CASE WHEN lower(trim(raw_workplace_type)) IN ('remote', 'fully remote') THEN 'REMOTE' WHEN lower(trim(raw_workplace_type)) = 'hybrid' THEN 'HYBRID'

@@ -6,13 +6,22 @@ import time
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import jsonx
+from millrace.functions.text import clean, prefix
+
 #: Columns of a delta file; ``full`` adds the nested record.
 MINIMAL = ("id", "job_id", "company_id", "title", "department", "employment_type", "workplace_type", "country", "is_remote", "posted_at", "apply_url", "fetched_time", "status", "close_time")
 FULL = (*MINIMAL, "job_model_json")
+#: Columns of a listing after ``normalized``, as connectors deliver them.
+NORMALIZED = (
+    "source", "external_id", "title", "company_name", "company_external_id", "description_text", "department", "seniority", "raw_country", "raw_state", "raw_city", "raw_postal_code",
+    "raw_location_text", "raw_workplace_type", "source_is_remote", "raw_employment_type", "salary_min", "salary_max", "salary_currency", "raw_salary_interval", "posted_at",
+    "source_fetched_at", "close_at", "closed_at", "apply_url", "raw_status", "ats_provider",
+)
 REGISTRY = ("id", "name", "website", "industry", "size", "country", "linkedin_url")
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("size", T.LongType()), T.StructField("version", T.StringType()), T.StructField("file_date", T.DateType())])
 
@@ -85,6 +94,39 @@ def with_registry(df: DataFrame, companies: DataFrame, column: str = "company_id
     return df.join(named, F.col(column).try_cast("long") == F.col("_id"), "left").drop("_id")
 
 
+def workplace(value: Column) -> Column:
+    """The stated workplace; "tbc" says nothing."""
+    stated = clean(value)
+    return F.when(F.lower(stated) != "tbc", stated)
+
+
+def normalized(df: DataFrame, source: str, record: str = "payload") -> DataFrame:
+    """NORMALIZED and the other columns of ``df`` from the nested record of a delta file.
+
+    ``record`` is a text {id, company_id, status, job_model_json}; the model may be encoded several
+    times. Absent parts, parts of another type and blank texts are null; a closure time is kept for
+    closed records only.
+    """
+    rows = jsonx.with_decoded(df, "_top", F.col(record))
+    rows = jsonx.with_decoded(rows, "_model", jsonx.member(F.col("_top"), "$.job_model_json", "variant"), parsed=True)
+    top = lambda path: clean(jsonx.member(F.col("_top"), path))
+    model = lambda path: clean(jsonx.member(F.col("_model"), path))
+    closed = F.lower(top("$.status")) == "closed"
+    made = {
+        "source": F.lit(source), "external_id": top("$.id"), "title": model("$.title"), "company_name": F.lit(None).cast("string"), "company_external_id": top("$.company_id"),
+        "description_text": model("$.description_plain"), "department": F.coalesce(model("$.department"), model("$.metadata.team")),
+        "seniority": F.coalesce(model("$.seniority"), model("$.metadata.experience_level")), "raw_country": model("$.location.country"), "raw_state": model("$.location.state"),
+        "raw_city": model("$.location.city"), "raw_postal_code": model("$.location.postal_code"), "raw_location_text": model("$.location.raw_location_text"),
+        "raw_workplace_type": workplace(model("$.location.workplace_type")), "source_is_remote": jsonx.boolean(model("$.location.is_remote")), "raw_employment_type": model("$.employment_type"),
+        "salary_min": model("$.compensation.min_amount"), "salary_max": model("$.compensation.max_amount"), "salary_currency": model("$.compensation.currency"),
+        "raw_salary_interval": model("$.compensation.interval"), "posted_at": jsonx.instant(model("$.posted_at")), "source_fetched_at": jsonx.instant(top("$.fetched_time")),
+        "close_at": jsonx.instant(model("$.expires_at")), "closed_at": F.when(closed, jsonx.instant(top("$.close_time"))), "apply_url": model("$.apply_url"), "raw_status": top("$.status"),
+        "ats_provider": F.coalesce(model("$.ats_provider"), prefix(top("$.id"))),
+    }
+    kept = [c for c in df.columns if c not in made and c != record]
+    return rows.select(*kept, *[made[c].alias(c) for c in NORMALIZED])
+
+
 def archive_key(source: str, variant: str, kind: str, name: str) -> str:
     if any(".." in part or part.startswith("/") for part in (source, variant, kind, name)):
         raise ValueError("a key must stay below its root")
@@ -101,3 +143,67 @@ def archive(spark: SparkSession, path: str, root: str, key: str) -> str:
         jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, draft, False, True, conf)
         fs.rename(draft, target)
     return f"{root}/{key}"
+
+
+def readable(spark: SparkSession, path: str, root: str, key: str) -> str:
+    """The archived copy of a file if there is one, else the file itself."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
+    return f"{root}/{key}" if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else path
+
+
+class ObjectStore:
+    """put, get, stat, list and delete of small objects below a root on any file system that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.base = self.jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs = self.base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, key: str):
+        if not key or key.startswith("/") or ".." in key.split("/"):
+            raise ValueError("a key must stay below its root")
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+
+    def put(self, key: str, data: bytes) -> None:
+        """Replaces the object; readers see the old or the new one."""
+        path = self._at(key)
+        draft = path.suffix(".part")
+        stream = self.fs.create(draft, True)
+        stream.write(bytearray(data))
+        stream.close()
+        self.fs.delete(path, False)
+        if not self.fs.rename(draft, path):
+            raise OSError(f"{key} could not be written")
+
+    def get(self, key: str) -> bytes:
+        if not self.exists(key):
+            raise FileNotFoundError(key)
+        stream = self.fs.open(self._at(key))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def exists(self, key: str) -> bool:
+        return self.fs.exists(self._at(key))
+
+    def stat(self, key: str) -> tuple[int, int]:
+        """Bytes and time of the last change in milliseconds."""
+        if not self.exists(key):
+            raise FileNotFoundError(key)
+        found = self.fs.getFileStatus(self._at(key))
+        return found.getLen(), found.getModificationTime()
+
+    def list(self, prefix: str = "") -> list[str]:
+        """Keys of the objects whose key begins so, in order."""
+        if not self.fs.exists(self.base):
+            return []
+        walk, out, above = self.fs.listFiles(self.base, True), [], len(self.fs.makeQualified(self.base).toString()) + 1
+        while walk.hasNext():
+            key = walk.next().getPath().toString()[above:]
+            if key.startswith(prefix) and not key.endswith((".part", ".crc")):
+                out.append(key)
+        return sorted(out)
+
+    def delete(self, key: str) -> bool:
+        return self.fs.delete(self._at(key), False)

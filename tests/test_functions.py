@@ -16,7 +16,7 @@ def one(spark, value, f, kind="string"):
     "raw, want",
     [
         ("HTTPS://WWW.Example.com:443/Jobs/AbC/?utm_source=x&b=2&a=1&empty=#top", "https://example.com/Jobs/AbC?a=1&b=2"), ("http://example.com", "http://example.com/"),
-        ("https://example.com/a b?q=x%20y", "https://example.com/a b?q=x+y"), ("https://e.com/?q=~*", "https://e.com/?q=~%2A"), ("ftp://example.com/x", None), ("nonsense", None), ("", None), (None, None), ("https:///x", None),
+        ("https://example.com/a b?q=x%20y", "https://example.com/a b?q=x+y"), ("https://e.com/?q=~*", "https://e.com/?q=~%2A"), ("ftp://example.com/x", None), ("nonsense", None), ("", None), (None, None), ("https:///x", None), ("http://me@E.com:443/x//?p=100%&q=%41", "http://me@e.com/x?p=100%25&q=A"),
         (" https://e.com/x/?REF=board ", "https://e.com/x"),
     ],
 )
@@ -58,7 +58,30 @@ def test_freshness(spark):
 def test_rules_in_order(spark):
     df = spark.createDataFrame([("Data Engineer", "Sales", None), ("Wizard", "Sales", "Mid-Senior level"), ("Chief Cook", None, ""), ("Junior Director", None, "x")], "t string, d string, s string")
     got = df.select(classify.category(F.col("t"), F.col("d")), classify.level(F.col("t"), F.col("s"))).collect()
-    assert [tuple(r) for r in got] == [("data-engineering", "UNKNOWN"), ("sales", "SENIOR"), ("other", "EXECUTIVE"), ("other", "DIRECTOR")]
+    assert [tuple(r) for r in got] == [("data-engineering", "UNKNOWN"), ("sales", "SENIOR"), ("food-hospitality", "EXECUTIVE"), ("management", "DIRECTOR")]
+
+
+GOLDEN_TITLES = (
+    ("Night Nurse, RN", "healthcare"), ("Dental Aide", "healthcare"), ("Direct Support Worker", "healthcare"), ("Patient Driver", "healthcare"), ("Primary School Teacher", "education"), ("Swim Coach", "education"),
+    ("Workday Integration Developer", "workday"), ("Analytics Engineer", "data-engineering"), ("ETL Developer", "data-engineering"), ("Junior Data Analyst", "data-analytics"), ("Staff Data Scientist", "data-science"),
+    ("AI Lead", "data-science"), ("CNC Programmer", "manufacturing"), ("Full-Stack Developer", "software"), ("Site Reliability Lead", "software"), ("Help-Desk Agent", "it-ops"), ("Civil Engineer II", "engineering"),
+    ("Marine Biologist", "science"), ("HVAC Technician", "skilled-trades"), ("Manufacturing Associate", "manufacturing"), ("Housekeeping Lead", "construction"), ("CDL Driver", "transport"), ("Line Cook", "food-hospitality"),
+    ("Head Cashier", "retail-customer"), ("Account Executive", "sales"), ("SEO Writer", "marketing"), ("Payroll Clerk", "finance"), ("Paralegal", "legal"), ("Recruiting Partner", "hr"), ("Social Worker", "social-services"),
+    ("Security Guard", "security"), ("Receptionist", "admin"), ("General Manager", "management"), ("Wizard", "other"), ("", "other"), (None, "other"), ("Data  Wizard", "other"), ("Raiser", "other"),
+)
+GOLDEN_LEVELS = (
+    ("Vice President, Senior Sales", "EXECUTIVE"), ("Senior Director", "DIRECTOR"), ("Senior Store Manager", "MANAGER"), ("Principal Engineer", "LEAD"), ("Sr. Clerk", "SENIOR"), ("Clerk III", "SENIOR"),
+    ("Software Intern", "INTERNSHIP"), ("Internal Auditor", "UNKNOWN"), ("Co-op Student", "INTERNSHIP"), ("Assistant Cook", "ENTRY"), ("Welder I", "ENTRY"), ("Leading Light", "UNKNOWN"), (None, "UNKNOWN"),
+)
+
+
+def test_titles_and_levels(spark):
+    df = spark.createDataFrame([(t, "Sales" if t == "" else None, w) for t, w in GOLDEN_TITLES], "t string, d string, w string")
+    assert df.select("t", "w", classify.category(F.col("t"), F.col("d")).alias("c")).filter("c <> w").collect() == []
+    df = spark.createDataFrame(GOLDEN_LEVELS, "t string, w string")
+    assert df.select("t", "w", classify.level(F.col("t"), F.lit("Not Applicable")).alias("c")).filter("c <> w").collect() == []
+    slugs = {s for s, _ in classify.CATEGORIES}
+    assert {r.name for r in classify.CATEGORY_RULES} == slugs - {"other"} and {r.name for r in classify.LEVEL_RULES} <= set(classify.LEVELS) and classify.categories(spark).count() == 26
 
 
 def test_keys(spark):
@@ -83,13 +106,27 @@ def test_places(spark):
     assert place(spark, city="Springfield").reason == "CITY_ONLY" and place(spark).reason == "NO_LOCATION"
     assert place(spark, where="Remote - USA").country_code == "US" and place(spark, where="Remote - USA").remote_type == "REMOTE"
     assert place(spark, "US", None, "Yell", company="Germany").reason == "UNSUPPORTED_CLAIM" and place(spark, "US", "OH", "Yell", company="Germany").country_code == "US"
-    assert place(spark, city="NYC", metros={"nyc": ("New York", "NY")}).state_code == "NY"
+    assert place(spark, "US", "Goa", "Yell").reason == "FOREIGN_SUBDIVISION" and place(spark, "Canada", "Ontario", "Yell").country_code is None
+    assert (lambda x: (x.country_code, x.state_code, x.city))(place(spark, city="TX")) == ("US", "TX", None)
+    assert place(spark, where="OH 45324").state_code is None and place(spark, where="  South Carolina").state_code == "SC"
+    listed = "place_id long, place_level string, city string, state_code string, state_name string, country_code string, country_name string, alt_names string"
+    rows = [(1, "city", "Garrow", "NY", None, "US", None, "Gw City|The Garrow"), (2, "city", "Pellpur", "MH", None, "IN", None, None), (3, "city", "Dunwick", "ON", None, "CA", None, None), (4, "city", "Dunwick", "IL", None, "US", None, None), (5, "city", "Tarn", "ON", None, "CA", None, None), (6, "state", None, "NY", None, "US", None, None)]
+    cities = location.city_facts(spark.createDataFrame(rows, listed))
+    at = lambda *a, **k: (lambda x: (x.country_code, x.state_code, x.city, x.reason))(place(spark, *a, cities=cities, **k))
+    assert at(city="Gw City") == ("US", "NY", "Garrow", None) and at("India", city="Pellpur") == ("IN", "MH", "Pellpur", None)
+    assert at("US", city="Tarn") == (None, None, "Tarn", "UNSUPPORTED_CLAIM") and at("US", "OH", "Tarn")[0] is None and at("India", city="Tarn")[0] == "IN"
+    assert at("US", city="Dunwick")[3] == "UNSUPPORTED_CLAIM" and at("US", "IL", "Dunwick")[1] == "IL" and at(city="Garrow")[3] == "CITY_ONLY"
 
 
 def test_search(spark):
     df = spark.createDataFrame([(1, "Planning menus daily"), (2, "menu for the planning team"), (3, "nothing"), (4, None)], "id int, t string").select("id", search.document(F.col("t")).alias("d"))
     hits = lambda q: [r[0] for r in df.filter(search.matches(F.col("d"), search.parse(q))).orderBy("id").collect()]
-    assert hits("menu plan") == [] and hits("menus planning") == [1, 2] and hits('"planning menu"') == [1] and hits("menu -daily") == [2] and hits("nothing or daily") == [1, 3]
+    assert hits("menu plan") == hits("menus planning") == [1, 2] and hits("men plan") == [] and hits('"planning menu"') == [1] and hits("menu -daily") == [2] and hits("nothing or daily") == [1, 3]
     assert hits("") == hits('"') == hits("the") == [] and hits("or or") == []
+    index = search.terms(df, "id", F.col("d")).cache()
+    for q in ("menu plan", '"planning menu"', "menu -daily", "nothing or daily", "zzz"):
+        assert set(hits(q)) <= {r[0] for r in search.candidates(index, search.parse(q)).collect()} <= {1, 2, 3}
+    assert search.candidates(index, search.parse("")).count() == 0 and sorted(r[0] for r in search.candidates(index, search.parse("teams planned")).collect()) == [2]
+    assert {"plan", "plans", "planned", "planning"} <= set(search.inflections("planned")) and search.inflections("c3") == ("c3",) and "studies" in search.inflections("study")
     ranks = {r[0]: r[1] for r in df.select("id", search.rank([F.col("d")], search.parse("menu"))).collect()}
     assert ranks[1] > 0 and ranks[3] == 0
