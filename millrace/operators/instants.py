@@ -77,10 +77,6 @@ def _literal_map(values: dict) -> Column:
     return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in values.items()) + ")")
 
 
-def _whole(text: Column) -> Column:
-    return F.when(text != "", text.try_cast("long"))
-
-
 def canonical(text: Column) -> Column:
     """The nine fields joined by "|", null for a text of no known notation.
 
@@ -167,7 +163,9 @@ def normalize(
     out = one.join(about, "_source", "left").withColumn("_t", tidy(F.col("raw")))
     # Steps are columns of their own, so that no pattern is matched twice for a value.
     out = out.withColumn("_digits", F.when(F.col("_t").contains(":"), "").otherwise(F.regexp_extract("_t", _EPOCH, 1)))
-    out = out.withColumn("_f", F.split(F.when(F.col("_digits") == "", canonical(F.col("_t"))), r"\|"))
+    # Fields without text are null. Functions on arrays also keep a projection out of the fused stage, whose one method would grow too large to be compiled.
+    fields_of = F.split(F.when(F.col("_digits") == "", canonical(F.col("_t"))), r"\|")
+    out = out.withColumn("_f", F.transform(fields_of, lambda x: F.nullif(F.trim(x), F.lit(""))))
     # A numeric date fills the first field with "?a?b?c"; its order is that of the source.
     first = F.col("_f")[0]
     numeric = first.startswith("?")
@@ -183,20 +181,21 @@ def normalize(
         "_key", "field_name", "raw", "_home", "_t", "_digits",
         F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y).alias("_y"),
         F.coalesce(mo.try_cast("int"), F.element_at(months, F.lower(mo))).alias("_mo"), d.alias("_d"),
-        _whole(part(3)).alias("_h"), _whole(part(4)).alias("_mi"), F.coalesce(_whole(part(5)), F.lit(0)).alias("_s"),
-        F.coalesce(F.rpad(F.substring(F.when(part(6) != "", part(6)), 1, 6), 6, "0").try_cast("long"), F.lit(0)).alias("_us"),
-        F.lower(part(7)).alias("_half"), F.trim(part(8)).alias("_zone"),
+        part(3).try_cast("long").alias("_h"), part(4).try_cast("long").alias("_mi"), F.coalesce(part(5).try_cast("long"), F.lit(0)).alias("_s"),
+        F.coalesce(F.rpad(F.substring(part(6), 1, 6), 6, "0").try_cast("long"), F.lit(0)).alias("_us"), F.lower(part(7)).alias("_half"), part(8).alias("_zone"),
     )
     day = F.concat_ws("-", F.lpad("_y", 4, "0"), F.lpad(F.col("_mo").cast("string"), 2, "0"), F.lpad("_d", 2, "0")).try_cast("date")
     out = out.withColumn("_day", F.when(F.col("_y").isNotNull() & F.col("_mo").isNotNull() & (F.col("_y") > "0000"), day))
-    out = out.withColumn("_bare", F.trim(F.regexp_replace(F.when(F.col("_zone") != "", F.col("_zone")), r"\[[^\]]*\]$", "")))
-    out = out.withColumn("_offset_parts", F.when(F.col("_bare").rlike(_OFFSET), F.split(F.regexp_replace("_bare", _OFFSET, "$1|$2|$3|$4"), r"\|")))
+    bracketed = F.col("_zone").endswith("]")
+    out = out.withColumn("_bare", F.when(bracketed, F.trim(F.regexp_replace("_zone", r"\[[^\]]*\]$", ""))).otherwise(F.col("_zone")))
+    signed = F.when(F.col("_bare").rlike("[+−-]"), F.regexp_replace("_bare", _OFFSET, "$1|$2|$3|$4"))
+    out = out.withColumn("_offset_parts", F.transform(F.split(F.when(signed.contains("|"), signed), r"\|"), lambda x: F.trim(x)))
     h = F.col("_h")
-    half = F.coalesce(F.col("_half"), F.lit(""))
-    hour = F.when(half == "", F.when(h < 24, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0))
+    half = F.col("_half")
+    hour = F.when(half.isNull(), F.when(h < 24, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0))
     clock = F.when((F.col("_mi") < 60) & (F.col("_s") < 60), ((hour * 60 + F.col("_mi")) * 60 + F.col("_s")) * MICROS + F.col("_us"))
     local = F.unix_date("_day").cast("long") * DAY + clock
-    stated = F.when(F.col("_zone") != "", F.col("_zone"))
+    stated = F.col("_zone")
     out = out.select(
         "_key", "field_name", "raw", "_t", epoch_micros(F.col("_t"), F.col("_digits")).alias("_epoch"), local.alias("_local"), F.year("_day").alias("_year"),
         offset_seconds(F.col("_bare"), F.col("_offset_parts")).alias("_offset"), F.coalesce(F.regexp_extract(stated, r"^\[?([^\[\]]+)\]?$", 1), F.coalesce("_home", F.lit("UTC"))).alias("_name"),
