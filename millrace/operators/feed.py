@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import search as text_search
+
 MOST_ROWS = 100
 
 
@@ -187,11 +189,113 @@ def child_counts(df: DataFrame, key: str, children: DataFrame, child_key: str, n
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls, distinct values and coverage in percent of each column, in one pass."""
-    aggs = [F.count("*").alias("n")]
-    for c in columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"), F.countDistinct(c).alias(f"distinct_{c}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"nulls_{c}").alias("nulls"), F.col(f"distinct_{c}").alias("values")) for c in columns]
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """(column, n, nulls, values, coverage): rows, nulls, distinct values and coverage in percent of each column, in one pass.
+
+    A row gives a pair of hashes per column instead of its values, combined before the shuffle; 128 bits stand for a value.
+    """
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("none"), F.xxhash64(c).alias("h"), F.xxhash64(F.lit(1), c).alias("g")) for c in columns]
+    seen = df.select(F.explode(F.array(*each)).alias("v")).select("v.*").groupBy("column", "none", "h", "g").agg(F.count("*").alias("k"))
+    out = seen.groupBy("column").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("none"), F.col("k")).otherwise(0)).alias("nulls"), F.count_if(~F.col("none")).alias("values"))
     return out.withColumn("coverage", F.round(100.0 * (F.col("n") - F.col("nulls")) / F.nullif(F.col("n"), F.lit(0)), 1).cast("double"))
+
+
+def top_values(facet_rows: DataFrame, column: str, limit: int, other: str = "other") -> DataFrame:
+    """The first values of a facet for a list of choices: without the rest category and empty ones (a top-k report)."""
+    return facet_rows.filter((F.col("n") > 0) & (F.col(column) != other)).orderBy(F.desc("n"), column).limit(limit)
+
+
+def frequent(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
+    """(column, value, n): the most frequent values of each column as text, by one pass over all (a top-k report)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v")
+    counts = df.select(each).select("v.*").filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    return counts.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top).drop("_k")
+
+
+def probe(df: DataFrame, expected: Mapping[str, str], unique: str, instant: str, as_of: Column) -> DataFrame:
+    """(check, n): whether a source is as promised: columns missing or of another type, rows, repeated and null ids, instants ahead of time."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    missing = sum(c not in kinds for c in expected)
+    other = sum(c in kinds and kinds[c] != t for c, t in expected.items())
+    one = df.agg(
+        F.count("*").alias("rows"), (F.count(unique) - F.countDistinct(unique)).alias("repeated_ids"), F.count_if(F.col(unique).isNull()).alias("null_ids"), F.count_if(F.col(instant) > as_of).alias("ahead_of_time"),
+    )
+    named = [F.struct(F.lit(n).alias("check"), F.lit(v).cast("long").alias("n")) for n, v in (("missing_columns", missing), ("other_types", other))]
+    named += [F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("n")) for n in ("rows", "repeated_ids", "null_ids", "ahead_of_time")]
+    return one.select(F.explode(F.array(*named)).alias("c")).select("c.*")
+
+
+def column_sizes(spark, paths: Sequence[str]) -> DataFrame:
+    """(column, bytes, share): compressed bytes of each column of Parquet files, from their footers, each read by a task of its own."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            sizes: dict[str, int] = {}
+            for path in batch.column(0).to_pylist():
+                meta = pq.ParquetFile(path.removeprefix("file:")).metadata
+                for g in range(meta.num_row_groups):
+                    for i in range(meta.num_columns):
+                        c = meta.row_group(g).column(i)
+                        name = c.path_in_schema.split(".")[0]
+                        sizes[name] = sizes.get(name, 0) + c.total_compressed_size
+            yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], ["column", "bytes"])
+
+    parts = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    sums = parts.mapInArrow(run, "column string, bytes long").groupBy("column").agg(F.sum("bytes").alias("bytes"))
+    return sums.withColumn("share", F.round(F.col("bytes") / F.sum("bytes").over(Window.partitionBy()), 4))  # one row per column
+
+
+# --- entry points
+
+CARD = (
+    "job_id", "title", "city", "state_code", "country_code", "remote_type", "employment_type", "category_slug", "seniority_level", "salary_min", "salary_max", "salary_currency",
+    "salary_interval", "posted_at", "posted_at_is_valid", "first_seen_at", "last_seen_at", "last_updated_at", "status", "source",
+)
+
+
+def card(jobs: DataFrame, companies: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """The columns of a listing in a list, with the name of its company."""
+    named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    return jobs.select(*CARD, "company_id", *more).join(named, "company_id", "left")
+
+
+SORTS = (Sort("posted", "posted_at"), Sort("first_seen", "first_seen_at"), Sort("salary", "salary_max"), Sort("relevance", None, keyset=False))
+
+
+def search(jobs: DataFrame, companies: DataFrame, filters: Filters, query: str | None = None, sort: str = "posted", limit: int = 20, cursor: str | None = None, doc: str = "search_doc") -> DataFrame:
+    """A page of cards with one row more than ``limit``: filtered, by full text if there is a query, sorted, behind the cursor.
+
+    Sorting by relevance needs a query and has no cursor. A cursor of another sort is a ValueError.
+    The page is cut before companies are joined.
+    """
+    asked = text_search.parse(query) if query else None
+    by = sort_of(sort, SORTS, asked is not None)
+    rows = jobs.filter(predicate(filters))
+    if asked is not None:
+        rows = rows.filter(text_search.matches(text_search.whole(F.col(doc)), asked))
+    if by.column is None:
+        rank = F.round(text_search.rank([F.col(doc)[n] for n in "abcd"], asked), 6)
+        return card(page(rows.withColumn("rank", rank), "rank", "job_id", limit), companies, ["rank"]).orderBy(F.desc("rank"), F.desc("job_id"))
+    at = decode_cursor(cursor, by.name) if cursor else None
+    return card(page(rows, by.column, "job_id", limit, at), companies).orderBy(F.col(by.column).desc_nulls_last(), F.desc("job_id"))
+
+
+def count(jobs: DataFrame, filters: Filters) -> int:
+    """The exact number of rows under the filters; a page doesn't need it."""
+    return jobs.filter(predicate(filters)).count()
+
+
+def detail(jobs: DataFrame, companies: DataFrame, sources: DataFrame, job_id: int) -> DataFrame:
+    """One listing with its company and the number of its sources; no row for an unknown id."""
+    about = companies.select(F.col("id").alias("company_id"), *[F.col(c).alias(f"company_{c}") for c in ("name", "website", "career_url", "industry", "size")])
+    n = sources.filter(F.col("job_id") == job_id).agg(F.count("*").alias("n_sources"))
+    return jobs.filter(F.col("job_id") == job_id).join(about, "company_id", "left").crossJoin(F.broadcast(n))  # one row
+
+
+def health(runs: DataFrame, ledgers: DataFrame, by: str = "source", started: str = "started_at") -> tuple[DataFrame, DataFrame]:
+    """The latest run of each source, and the most frequent reasons of refusal."""
+    from millrace.operators import quality
+
+    return latest(runs, [by], [F.desc(started)]), quality.breakdown(ledgers)

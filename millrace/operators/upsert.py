@@ -135,7 +135,7 @@ def load(
     known = provenance.select("id", *key).join(state.select("id", content, F.col(status).alias("_was")), "id")
     made = classify(incoming, known.drop("_was"), key, content, [m for m, _ in matchers], state)
     names = F.create_map(*[F.lit(x) for pair in matchers for x in pair]) if matchers else None
-    made = made.withColumn("matched_by", F.element_at(names, "matched_by") if matchers else F.lit(None).cast("string"))
+    made = made.withColumn("matched_by", F.element_at(names, F.col("matched_by")) if matchers else F.lit(None).cast("string"))
     made = session.cut(made.join(state.select(F.col("id").alias("target_id"), F.col(status).alias("_was")), "target_id", "left"))
     top = state.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = new_ids(made.filter(F.col("action") == INSERT), key, top)

@@ -192,11 +192,30 @@ def latest_file(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "normalized_jobs").groupBy("source").agg(F.max_by("source_path", F.struct("source_path", "record_id")).alias("source_path"))
 
 
-@query("""SELECT 'title' AS "column", count(*) AS n, count(*) FILTER (title IS NULL) AS nulls, count(DISTINCT title) AS "values", round(100.0 * count(title) / count(*), 1) AS coverage FROM normalized_jobs
-    UNION ALL SELECT 'department', count(*), count(*) FILTER (department IS NULL), count(DISTINCT department), round(100.0 * count(department) / count(*), 1) FROM normalized_jobs
-    UNION ALL SELECT 'posted_at', count(*), count(*) FILTER (posted_at IS NULL), count(DISTINCT posted_at), round(100.0 * count(posted_at) / count(*), 1) FROM normalized_jobs""")
+_PROFILED = (
+    "source", "external_id", "title", "company_name", "company_external_id", "description_text", "department", "seniority", "raw_country", "raw_state", "raw_city", "raw_postal_code", "raw_location_text",
+    "raw_workplace_type", "source_is_remote", "raw_employment_type", "salary_min", "salary_max", "salary_currency", "raw_salary_interval", "posted_at", "source_fetched_at", "close_at", "closed_at",
+    "apply_url", "raw_status", "ats_provider", "source_path",
+)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS "values", round(100.0 * count({c}) / count(*), 1) AS coverage FROM normalized_jobs""" for c in _PROFILED))
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    return feed.profile(table(spark, d, "normalized_jobs"), ["title", "department", "posted_at"])
+    return feed.profile(table(spark, d, "normalized_jobs"), _PROFILED)
+
+
+_FREQUENT = ("source", "seniority", "raw_country", "raw_employment_type")
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM normalized_jobs WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY n DESC, value LIMIT 5)""" for c in _FREQUENT))
+def frequent_values(spark: SparkSession, d: str) -> DataFrame:
+    return feed.frequent(table(spark, d, "normalized_jobs"), _FREQUENT)
+
+
+@query(f"""SELECT unnest(['missing_columns', 'other_types', 'rows', 'repeated_ids', 'null_ids', 'ahead_of_time']) AS "check", unnest([1, 1, count(*), count(external_id) - count(DISTINCT external_id), count(*) FILTER (external_id IS NULL), count(*) FILTER (posted_at > {_AS_OF})]) AS n FROM normalized_jobs""")
+def source_probe(spark: SparkSession, d: str) -> DataFrame:
+    promised = {"external_id": "string", "title": "string", "posted_at": "timestamp", "salary_min": "double", "skills": "array<string>"}
+    return feed.probe(table(spark, d, "normalized_jobs"), promised, "external_id", "posted_at", as_of())
 
 
 # --- validation, ledger, gates
@@ -249,16 +268,30 @@ def gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT violation, count(*) AS n FROM (SELECT unnest([x FOR x IN [CASE WHEN salary_min > salary_max THEN 'salary_order' END, CASE WHEN salary_min < 0 OR salary_max < 0 THEN 'salary_sign' END,
     CASE WHEN NOT regexp_full_match(country_code, '[A-Z]{2}') THEN 'country_form' END, CASE WHEN NOT regexp_full_match(salary_currency, '[A-Z]{3}') THEN 'currency_form' END,
-    CASE WHEN posted_at_is_valid AND posted_at IS NULL THEN 'valid_has_date' END, CASE WHEN status = 'EXPIRED' AND closed_at IS NULL THEN 'expired_has_closure' END] IF x IS NOT NULL]) AS violation FROM jobs) GROUP BY 1""")
+    CASE WHEN posted_at_is_valid AND posted_at IS NULL THEN 'valid_has_date' END, CASE WHEN status = 'EXPIRED' AND closed_at IS NULL THEN 'expired_has_closure' END] IF x IS NOT NULL]) AS violation
+    FROM (SELECT salary_max AS salary_min, salary_min AS salary_max, lower(country_code) AS country_code, lower(salary_currency) AS salary_currency, posted_at, NOT posted_at_is_valid AS posted_at_is_valid,
+        CASE status WHEN 'EXPIRED' THEN 'ACTIVE' ELSE 'EXPIRED' END AS status, closed_at FROM jobs UNION ALL
+        SELECT salary_min, salary_max, country_code, salary_currency, posted_at, posted_at_is_valid, status, closed_at FROM jobs)) GROUP BY 1""")
 def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
-    return quality.violations(table(spark, d, "jobs"), quality.listing_constraints()).groupBy("violation").agg(F.count("*").alias("n"))
+    """All jobs as stored, which hold, and once more with everything turned round, so that every constraint has rows to find."""
+    jobs = table(spark, d, "jobs").select("salary_min", "salary_max", "country_code", "salary_currency", "posted_at", "posted_at_is_valid", "status", "closed_at")
+    turned = jobs.select(
+        F.col("salary_max").alias("salary_min"), F.col("salary_min").alias("salary_max"), F.lower("country_code").alias("country_code"), F.lower("salary_currency").alias("salary_currency"), "posted_at",
+        (~F.col("posted_at_is_valid")).alias("posted_at_is_valid"), F.when(F.col("status") == "EXPIRED", "ACTIVE").otherwise("EXPIRED").alias("status"), "closed_at",
+    )
+    return quality.violations(turned.union(jobs), quality.listing_constraints()).groupBy("violation").agg(F.count("*").alias("n"))
 
 
 # --- joins
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("""WITH f AS (SELECT source_path AS path, CAST(epoch_us(max(source_fetched_at)) AS VARCHAR) AS version, CAST(epoch_us(min(source_fetched_at)) AS VARCHAR) AS done FROM normalized_jobs GROUP BY 1)
+    SELECT path, version FROM f WHERE coalesce(version, '') <> coalesce(done, '')""")
 def anti_pending(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Files whose version (their last fetch) isn't the one recorded as done (their first)."""
+    at = F.unix_micros("source_fetched_at")
+    files = table(spark, d, "normalized_jobs").groupBy(F.col("source_path").alias("path")).agg(F.max(at).cast("string").alias("version"), F.min(at).cast("string").alias("_first"))
+    files = files.withColumn("file_date", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
+    return listing.pending(files, files.select("path", F.col("_first").alias("version"))).select("path", "version")
 
 
 @query("SELECT source_row_id FROM job_sources s WHERE EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = s.job_id)")
@@ -266,11 +299,12 @@ def orphans_removed(spark: SparkSession, d: str) -> DataFrame:
     return maintain.without_orphans(table(spark, d, "job_sources"), "job_id", table(spark, d, "jobs"), "job_id").select("source_row_id")
 
 
-@query("""SELECT strftime(CAST(x AS DATE), '%Y-%m-%d') AS file_date FROM (SELECT unnest(generate_series(min(f), max(f), INTERVAL 1 DAY)) AS x FROM (SELECT CAST(regexp_extract(source_path, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) AS f FROM normalized_jobs WHERE source = 'rolecast'))
-    WHERE CAST(x AS DATE) NOT IN (SELECT CAST(regexp_extract(source_path, '(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) FROM normalized_jobs WHERE source = 'rolecast')""".replace("\\\\", "\\"))
+@query(r"""WITH f AS (SELECT DISTINCT source, CAST(regexp_extract(source_path, '(\d{4}-\d{2}-\d{2})', 1) AS DATE) AS day FROM normalized_jobs),
+    e AS (SELECT source, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM f GROUP BY source)
+    SELECT source, strftime(CAST(e.day AS DATE), '%Y-%m-%d') AS file_date FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source = e.source AND f.day = CAST(e.day AS DATE))""")
 def gap_dates(spark: SparkSession, d: str) -> DataFrame:
-    days = table(spark, d, "normalized_jobs").filter("source = 'rolecast'").select(F.regexp_extract("source_path", r"(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("file_date"))
-    return listing.gaps(days).select(F.col("file_date").cast("string").alias("file_date"))
+    days = table(spark, d, "normalized_jobs").select("source", F.regexp_extract("source_path", r"(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("file_date"))
+    return listing.gaps(days, by=["source"]).select("source", F.col("file_date").cast("string").alias("file_date"))
 
 
 @query("""SELECT n.record_id, c.name AS company_name, c.industry AS company_industry FROM normalized_jobs n LEFT JOIN companies c ON c.id = TRY_CAST(n.company_external_id AS BIGINT)""")
@@ -290,35 +324,6 @@ def update_from_join(spark: SparkSession, d: str) -> DataFrame:
 
 # --- loading
 
-_SLICES_SQL = """known AS (SELECT o_orderkey AS id, o_orderkey AS k, o_orderstatus AS content, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS url FROM orders WHERE o_orderkey % 2 = 0),
-    incoming AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS content, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey AS VARCHAR) END AS url FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1)"""
-
-
-def _slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o, key = table(spark, d, "orders"), F.col("o_orderkey")
-    cust = F.col("o_custkey").cast("string")
-    known = o.filter(key % 2 == 0).select(key.alias("id"), key.alias("k"), F.col("o_orderstatus").alias("content"), F.when(key % 3 == 0, cust).alias("url"))
-    incoming = o.filter((key % 2 == 0) | (key % 3 == 1)).select(key.alias("k"), F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("content"), F.when(key % 7 == 0, cust).alias("url"))
-    return known, incoming
-
-
-@query(f"""WITH {_SLICES_SQL}, target AS (SELECT url, min(id) AS t FROM known WHERE url IS NOT NULL GROUP BY url)
-    SELECT i.k, CASE WHEN n.id IS NOT NULL THEN CASE WHEN n.content IS NOT DISTINCT FROM i.content THEN 'unchanged' ELSE 'updated' END WHEN t.t IS NOT NULL THEN 'merged' ELSE 'inserted' END AS action,
-    coalesce(n.id, t.t) AS target_id FROM incoming i LEFT JOIN known n ON n.k = i.k LEFT JOIN target t ON t.url = i.url""")
-def upsert_actions(spark: SparkSession, d: str) -> DataFrame:
-    known, incoming = _slices(spark, d)
-    return upsert.classify(incoming, known, ["k"], "content", ["url"]).select("k", "action", "target_id")
-
-
-@query(f"""WITH {_SLICES_SQL} SELECT n.id, CASE WHEN i.k IS NOT NULL AND n.content IS DISTINCT FROM i.content THEN i.content ELSE n.content END AS content,
-    CASE WHEN i.k IS NULL THEN 'old' ELSE 'new' END AS seen, CASE WHEN i.k IS NOT NULL AND n.content IS DISTINCT FROM i.content THEN 'new' ELSE 'old' END AS updated FROM known n LEFT JOIN incoming i ON i.k = n.k""")
-def upsert_state(spark: SparkSession, d: str) -> DataFrame:
-    known, incoming = _slices(spark, d)
-    state = known.withColumn("last_seen_at", F.lit("old")).withColumn("last_updated_at", F.lit("old"))
-    out = upsert.next_state(state, upsert.classify(incoming, known, ["k"], "content", ["url"]), ["content"], [], F.lit("new"))
-    return out.select("id", "content", F.col("last_seen_at").alias("seen"), F.col("last_updated_at").alias("updated"))
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1000 AS id FROM orders")
 def identity_assignment(spark: SparkSession, d: str) -> DataFrame:
     return upsert.new_ids(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 1000)
@@ -361,9 +366,13 @@ def retention_preview(spark: SparkSession, d: str) -> DataFrame:
     return maintain.preview(table(spark, d, "jobs"), _old(), F.col("posted_at_is_valid"))
 
 
-@query("SELECT coalesce(category_slug, '(none)') AS category, count(*) AS n FROM jobs WHERE category_slug IS NULL OR category_slug NOT IN ('data', 'software') GROUP BY 1")
+_SLUGS = ", ".join(f"('{s}', '{n}')" for s, n in classify.CATEGORIES)
+
+
+@query(f"""SELECT coalesce(category_slug, '(none)') AS slug, name, count(*) AS n FROM jobs LEFT JOIN (VALUES {_SLUGS}) c(slug, name) ON c.slug = category_slug
+    WHERE category_slug IS NULL OR category_slug NOT IN ('data', 'software') GROUP BY ALL""")
 def purge_report(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.purge(table(spark, d, "jobs"), "category_slug", ["data", "software"])[1]
+    return maintain.purge_report(table(spark, d, "jobs"), "category_slug", ["data", "software"], classify.categories(spark))
 
 
 # --- scalar functions
@@ -380,7 +389,13 @@ def company_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "companies").select("id", text.company_key(F.col("name")).alias("company_key"), text.domain(F.col("website")).alias("domain"))
 
 
-@query()
+_LOWER_WORDS = ", ".join(f"'{w}'" for w in text.CONNECTIVES)
+
+
+@query(r"""WITH w AS (SELECT list_filter(regexp_split_to_array(trim(industry), '\s+'), lambda x: x <> '') AS ws FROM companies),
+    t AS (SELECT list_transform(ws, lambda x, i: CASE WHEN i > 1 AND lower(x) IN (@) THEN lower(x) ELSE array_to_string(list_transform(string_split(x, '/'),
+        lambda p: array_to_string(list_transform(string_split(p, '-'), lambda q: upper(left(q, 1)) || lower(substr(q, 2))), '-')), '/') END) AS ws FROM w)
+    SELECT nullif(left(array_to_string(ws, ' '), 120), '') AS industry, count(*) AS n FROM t GROUP BY 1""".replace("@", _LOWER_WORDS))
 def title_cased(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "companies").groupBy(text.title_case(F.col("industry")).alias("industry")).agg(F.count("*").alias("n"))
 
@@ -403,9 +418,19 @@ def code_maps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_TRACKING = ", ".join(f"'{w}'" for w in urls.TRACKING)
+
+
+@query(r"""WITH s AS (SELECT record_id, lower(regexp_extract(u, p, 1, 'i')) AS scheme, lower(regexp_extract(u, p, 2, 'i')) AS host, regexp_extract(u, p, 3, 'i') AS path, regexp_extract(u, p, 4, 'i') AS q
+        FROM (SELECT record_id, trim(apply_url) AS u, '^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$' AS p FROM normalized_jobs)),
+    k AS (SELECT *, list_sort(list_filter(list_transform(string_split(q, '&'), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': CASE WHEN instr(x, '=') > 0 THEN url_decode(replace(substr(x, instr(x, '=') + 1), '+', ' ')) END}),
+        lambda x: coalesce(x.v, '') <> '' AND lower(x.k) NOT IN (@))) AS kv FROM s),
+    c AS (SELECT record_id, CASE WHEN scheme <> '' AND host <> '' THEN scheme || '://' || regexp_replace(regexp_replace(regexp_replace(host, '^www\.', ''), ':443$', ''), ':80$', '') || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END
+        || CASE WHEN len(kv) > 0 THEN '?' || array_to_string(list_transform(kv, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') ELSE '' END END AS url FROM k)
+    SELECT record_id, url, sha256(url) AS url_hash FROM c""".replace("@", _TRACKING))
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "normalized_jobs").select("record_id", urls.canonical(F.col("apply_url")).alias("url"), urls.digest(F.col("apply_url")).alias("url_hash"))
+    made = table(spark, d, "normalized_jobs").select("record_id", urls.canonical(F.col("apply_url")).alias("url"))
+    return made.withColumn("url_hash", F.sha2(F.col("url").cast("binary"), 256))
 
 
 _KEY_PARTS = """words AS (

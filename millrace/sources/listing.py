@@ -58,11 +58,11 @@ def since(listed: DataFrame, first: date | None) -> DataFrame:
     return (listed if first is None else listed.filter(F.col("file_date") >= F.lit(first))).orderBy("file_date")
 
 
-def gaps(listed: DataFrame, column: str = "file_date") -> DataFrame:
-    """Dates between the first and last that have no file."""
-    ends = listed.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo is not null")
-    days = ends.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(column))
-    return days.join(listed.select(column).distinct(), column, "left_anti")
+def gaps(listed: DataFrame, column: str = "file_date", by: Sequence[str] = ()) -> DataFrame:
+    """Dates between the first and last, of each of ``by`` if given, that have no file."""
+    ends = listed.groupBy(*by).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo is not null")
+    days = ends.select(*by, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(column))
+    return days.join(listed.select(*by, column).distinct(), [*by, column], "left_anti")
 
 
 def pending(listed: DataFrame, done: DataFrame, newest: int | None = None) -> DataFrame:
@@ -75,6 +75,14 @@ def pending(listed: DataFrame, done: DataFrame, newest: int | None = None) -> Da
     return todo.orderBy("file_date", "path")
 
 
+def should_act(listed: DataFrame | None, done: DataFrame | None) -> bool:
+    """Whether the newest file is still to be processed; what can't be known counts as work."""
+    if listed is None or done is None:
+        return True
+    newest = listed.orderBy(F.desc("file_date"), F.desc("path")).limit(1)
+    return not pending(newest, done).isEmpty()
+
+
 def scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = MINIMAL) -> DataFrame:
     """The wanted columns with source_path and row_index of every row; columns that are never named are never read."""
     return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.row_index").alias("row_index"))

@@ -98,8 +98,13 @@ def test_files_once_per_version_with_atomic_commit(spark, tmp_path):
 
     spark.dataSource.register(ListingSource)
     assert spark.read.format("daily_listing").option("path", str(folder)).load().count() == 3
+    out = spark.readStream.format("daily_listing").option("path", str(folder)).load().writeStream.format("memory").queryName("days").trigger(availableNow=True).start()
+    assert out.awaitTermination(120) and spark.table("days").count() == 3
+    assert listing.should_act(listing.files(spark, str(folder)), store.table("files").select("path", "version")) and not listing.should_act(listing.files(spark, str(folder)).filter("name < '2026-01-04'"), store.table("files").select("path", "version"))
+    assert listing.should_act(None, None)
     copied = listing.archive(spark, str(folder / "2026-01-01.parquet"), str(tmp_path / "raw"), listing.archive_key("s", "full", "delta", "2026-01-01.parquet"))
     assert spark.read.parquet(copied).count() == 3
+    assert listing.readable(spark, "elsewhere", str(tmp_path / "raw"), "raw/s/full/delta/2026-01-01.parquet") == copied and listing.readable(spark, "elsewhere", str(tmp_path / "raw"), "no") == "elsewhere"
     with pytest.raises(ValueError):
         listing.archive_key("..", "a", "b", "c")
     with pytest.raises(FileNotFoundError):
