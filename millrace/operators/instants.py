@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.operators import zones
 
 MICROS = 1_000_000
@@ -156,10 +157,9 @@ def normalize(
     spark = df.sparkSession
     about = sources.select(F.col(source).alias("_source"), F.col(zone_column).alias("_home"), F.upper(F.trim(F.col(style_column))).alias("_style"))
     about = about.groupBy("_source").agg(F.first("_home").alias("_home"), F.first("_style").alias("_style"))
-    one = df.select(
-        F.col(key).alias("_key"), F.col(source).alias("_source"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("raw")) for f in fields])).alias("v"),
-    ).select("_key", "_source", "v.field_name", "v.raw")
+    rows = session.spread(df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), *[F.col(f).cast("string").alias(f"_raw_{i}") for i, f in enumerate(fields)]))
+    values = [F.struct(F.lit(f).alias("field_name"), F.col(f"_raw_{i}").alias("raw")) for i, f in enumerate(fields)]
+    one = rows.select("_key", "_source", F.explode(F.array(*values)).alias("v")).select("_key", "_source", "v.field_name", "v.raw")
     out = one.join(about, "_source", "left").withColumn("_t", tidy(F.col("raw")))
     # Steps are columns of their own, so that no pattern is matched twice for a value.
     out = out.withColumn("_digits", F.when(F.col("_t").contains(":"), "").otherwise(F.regexp_extract("_t", _EPOCH, 1)))

@@ -51,5 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan gives fewer parts than there are cores, for steps that cost much per row.
+
+    That is so for a table in a few small files only: with as many parts as cores, or behind a shuffle, ``df`` comes back as it is.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.execute().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
