@@ -259,7 +259,7 @@ def forms(df: DataFrame, key: str = "doc_id", text: str = "text", with_form: boo
     Empty and blank texts give "". Rows with equal or null keys stay apart. One pass, no shuffle.
     """
     table = df.sparkSession.sparkContext.broadcast(rules(look_alikes(df.sparkSession)))
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = session.spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     kind = rows.schema["k"].dataType.simpleString()
     names = ["k", "form", "form_hi", "form_lo", "raw_hash", "visible"]
     half = 1 << 63

@@ -287,9 +287,10 @@ def default_aliases(spark: SparkSession) -> DataFrame:
 
 
 def names(places: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(place_id, kind, state_code, country_code, tokens, weights, key) of every name of every entry; cut from its lineage.
+    """(place_id, kind, state_code, country_code, tokens, weights, key, top) of every name of every entry; cut from its lineage.
 
-    ``weights`` are the inverse frequencies of the tokens among names of cities, ``key`` is the rarest token.
+    ``weights`` are the inverse frequencies of the tokens among names of cities, ``key`` is the rarest
+    token and ``top`` the weight of a token that one name only has.
     """
     own = F.when(F.col("place_level") == "country", F.array("country_code", "country_name")).when(F.col("place_level") == "state", F.array("state_code", "state_name"))
     own = own.otherwise(F.concat(F.array("city"), F.split(F.coalesce("alt_names", F.lit("")), r"\|")))
@@ -307,16 +308,17 @@ def names(places: DataFrame, aliases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.list_(pa.string()))], [*about, "tokens"])
 
     split = whole.mapInArrow(run, "place_id long, kind string, state_code string, country_code string, tokens array<string>")
-    split = session.cut(split.filter(F.size("tokens") > 0).distinct())
+    split = split.filter(F.size("tokens") > 0).distinct()
     cities = split.agg(F.count_if(F.col("kind") == "city").alias("n_cities"))  # one row
     used = split.select(*about, "tokens", F.posexplode("tokens").alias("at", "word"))
     distinct_words = split.select("kind", F.explode(F.array_distinct("tokens")).alias("word"))
     counts = distinct_words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "city").alias("n_city")).crossJoin(F.broadcast(cities))
     counts = counts.withColumn("weight", F.log(1 + F.greatest(F.col("n_cities"), F.lit(1)) / F.greatest(F.col("n_city"), F.lit(1))))
-    each = used.join(counts.select("word", "n", "weight"), "word").groupBy(*about, "tokens").agg(
-        F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("w"), F.min(F.struct("n", "word")).alias("k")
+    counts = counts.withColumn("top", F.log(1.0 + F.greatest(F.col("n_cities"), F.lit(1))))
+    each = used.join(counts.select("word", "n", "weight", "top"), "word").groupBy(*about, "tokens").agg(
+        F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("w"), F.min(F.struct("n", "word")).alias("k"), F.max("top").alias("top")
     )
-    return session.cut(each.select(*about, "tokens", F.col("w.weight").alias("weights"), F.col("k.word").alias("key")))
+    return session.cut(each.select(*about, "tokens", F.col("w.weight").alias("weights"), F.col("k.word").alias("key"), "top"))
 
 
 def vocabulary(named: DataFrame) -> DataFrame:
@@ -368,7 +370,7 @@ def _text_tokens(texts: DataFrame, fields: tuple[str, str, str]) -> DataFrame:
                 found.extend(sorted(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["text_no", "token"])
 
-    return texts.select("text_no", *fields).mapInArrow(run, "text_no string, token string")
+    return session.spread(texts.select("text_no", *fields)).mapInArrow(run, "text_no string, token string")
 
 
 def values(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country"), aliases: DataFrame | None = None) -> DataFrame:
@@ -379,19 +381,20 @@ def values(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("ra
     """
     aliases = default_aliases(df.sparkSession) if aliases is None else aliases
     listing = names(places, aliases)
-    top = math.log(1 + max(1, listing.filter("kind = 'city'").count()))
     filled = F.coalesce(*[text_functions.clean(F.col(f)) for f in fields]).isNotNull()
     texts = df.filter(filled).groupBy(*fields).agg(F.count("*").alias("n_rows"))
     texts = session.cut(texts.withColumn("text_no", F.md5(F.to_json(F.struct(*fields)))))
     tokens = _text_tokens(texts, fields)
-    fixed = repairs(tokens.select("token").distinct(), vocabulary(listing))
+    # Little data with much work per row: a stated number of parts keeps adaptive execution from putting it into one task.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    fixed = repairs(tokens.select("token").repartition(cores, "token").distinct(), vocabulary(listing))
     short = aliases.filter("kind = 'word'").groupBy(F.col("alias").alias("token")).agg(F.array_sort(F.collect_set(F.struct(F.array("meaning").alias("reading"), F.lit(1.0).alias("closeness")))).alias("short"))
     found = tokens.join(fixed, "token", "left").join(short, "token", "left")
     near = F.transform(F.coalesce("words", F.array()), lambda w: F.struct(w["reading"].alias("reading"), w["closeness"].alias("closeness")))
     found = found.select("text_no", "token", F.concat(F.coalesce("short", F.array()), near).alias("readings"))
     fix = F.when(F.size("readings") > 0, F.struct("token", "readings"))
     met = found.select("text_no", F.explode(F.array_union(F.array("token"), F.flatten(F.col("readings.reading")))).alias("key")).distinct()
-    meant = met.join(listing, "key").groupBy("text_no").agg(F.collect_list(F.struct("place_id", "kind", "state_code", "country_code", "tokens", "weights", "key")).alias("names"))
+    meant = met.join(listing, "key").groupBy("text_no").agg(F.collect_list(F.struct("place_id", "kind", "state_code", "country_code", "tokens", "weights", "key", "top")).alias("names"))
     known = found.groupBy("text_no").agg(F.collect_list(fix).alias("repairs"))
     one = texts.join(known, "text_no").join(meant, "text_no", "left").select(*fields, "n_rows", "repairs", "names")
     schema = df.select(*fields).schema.add("n_rows", "long").add("place_id", "long")
@@ -400,14 +403,15 @@ def values(df: DataFrame, places: DataFrame, fields: tuple[str, str, str] = ("ra
         for batch in batches:
             city, state, country, _, known, meant = (c.to_pylist() for c in batch.columns)
             rows = {(n["place_id"], n["kind"], tuple(n["tokens"])): n for some in meant for n in some or ()}
-            reader = Gazetteer((tuple(n.values()) for n in rows.values()), top)
+            top = max((n["top"] for n in rows.values()), default=0.0)
+            reader = Gazetteer((tuple(n.values())[:-1] for n in rows.values()), top)
             chosen = [
                 reader.resolve(c, s, k, {r["token"]: [(tuple(w["reading"]), w["closeness"]) for w in r["readings"]] for r in fix})
                 for c, s, k, fix in zip(city, state, country, known)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(chosen, pa.int64())], [*fields, "n_rows", "place_id"])
 
-    return session.cut(one.mapInArrow(run, schema))
+    return session.cut(one.repartition(cores).mapInArrow(run, schema))
 
 
 def resolve(df: DataFrame, places: DataFrame, key: str = "record_id", fields: tuple[str, str, str] = ("raw_city", "raw_state", "raw_country"), aliases: DataFrame | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace import session
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 DEFAULT_NAME = "byte_bpe_50k"
 #: How byte-level BPE of this kind parts a text before merging (fixed value of the public vocabulary).
@@ -238,7 +240,7 @@ def encode(
     A null text gives ``null_ids`` and an empty one ``empty_ids``, both without ids unless given;
     blanks are text. No shuffle; rows with null or equal keys stay apart.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = session.spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,7 @@ def encode(
 
 def count(df: DataFrame, columns: tuple[str, ...], text: str = "text", folder: str = DEFAULT_FOLDER, name: str = DEFAULT_NAME) -> DataFrame:
     """``columns`` of every row with n_tokens, the number of tokens of its text."""
-    rows = df.select(*columns, F.col(text).cast("string").alias("_text"))
+    rows = session.spread(df.select(*columns, F.col(text).cast("string").alias("_text")))
     schema = rows.drop("_text").schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
